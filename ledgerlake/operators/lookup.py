@@ -15,10 +15,15 @@ def account_owners(customers: DataFrame) -> DataFrame:
     )
 
 
-def resolve_customers(df: DataFrame, customers: DataFrame, account: str) -> DataFrame:
-    """Add ``customer_id`` for ``account``; rows whose account is unknown drop out."""
-    owners = account_owners(customers).withColumnRenamed("account_number", account)
-    return df.join(owners, account, "inner")
+def resolve_customers(df: DataFrame, owners: DataFrame, account: str) -> DataFrame:
+    """Add ``customer_id`` for ``account``; rows whose account is unknown drop out.
+
+    ``owners`` comes from ``account_owners``. For a join over all transactions store it
+    first (``session.materialize`` or a table): read from files it is broadcast when
+    small, and otherwise both sides reach the sort-merge join straight from a shuffle,
+    where Spark splits the partition of an account that holds a large share of rows.
+    """
+    return df.join(owners.withColumnRenamed("account_number", account), account, "inner")
 
 
 def add_country(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_percentile
@@ -10,7 +10,7 @@ from ..operators.scoring import FRAUD_THRESHOLD, Scorer, flag_fraud, hash_scorer
 from ..schemas import ACCOUNT_COLUMNS, GOLD_CUSTOMER_COLUMNS
 from ..session import materialize
 from ..sources.documents import query
-from ..sources.tables import VersionedTable, require_rows
+from ..sources.tables import Table, VersionedTable, require_rows
 
 FRAUD_SCORER = hash_scorer(salt="fraud:")
 
@@ -39,15 +39,18 @@ def possible_fraud(
     transactions: DataFrame, scorer: Scorer = FRAUD_SCORER, threshold: int = FRAUD_THRESHOLD
 ) -> DataFrame:
     """Bronze transactions whose score is above the threshold, cleaned for gold."""
-    flagged = flag_fraud(transactions, scorer, threshold)
+    return reported(flag_fraud(transactions, scorer, threshold))
+
+
+def reported(flagged: DataFrame) -> DataFrame:
     return flagged.where(F.col("fraud")).drop("score", *ACCOUNT_COLUMNS)
 
 
 def consolidate(
     spark: SparkSession,
-    customers: DataFrame,
-    profiles: DataFrame,
-    transactions: DataFrame,
+    customers: Table,
+    profiles: Table,
+    transactions: Table,
     customers_table: VersionedTable,
     transactions_table: VersionedTable,
     preserve_flags: bool = False,
@@ -57,28 +60,33 @@ def consolidate(
     Consolidation sets ``fraud`` to false again unless ``preserve_flags`` is given, so
     detection is run after it.
     """
-    require_rows(profiles, customers, transactions)
-    customers_table.upsert(gold_customers(customers, profiles))
+    require_rows(spark, profiles, customers, transactions)
+    customers_table.upsert(gold_customers(customers.current(spark), profiles.current(spark)))
     keep = ("fraud",) if preserve_flags else ()
-    transactions_table.upsert(gold_transactions(transactions), flags_to_keep=keep)
+    transactions_table.upsert(gold_transactions(transactions.current(spark)), flags_to_keep=keep)
 
 
 def detect_fraud(
-    transactions: DataFrame,
+    spark: SparkSession,
+    bronze: Table,
     transactions_table: VersionedTable,
     scorer: Scorer = FRAUD_SCORER,
     threshold: int = FRAUD_THRESHOLD,
 ) -> tuple[int, int]:
     """Flag transactions in gold with one merge; returns how many are fraud and valid.
 
-    The flagged rows are stored first, so each transaction is scored once however
-    often they are then read.
+    One pass scores each transaction once: it stores the flagged rows and counts all
+    rows on the way, in the tasks that write.
     """
-    require_rows(transactions)
-    flagged = materialize(possible_fraud(transactions, scorer, threshold), "possible-fraud")
-    transactions_table.upsert(flagged)
-    fraud = flagged.count()
-    return fraud, transactions.count() - fraud
+    require_rows(spark, bronze)
+    counts = Observation("fraud detection")
+    scored = flag_fraud(bronze.current(spark), scorer, threshold).observe(
+        counts,
+        F.count_if("fraud").alias("fraud"),
+        F.count_if(~F.col("fraud")).alias("valid"),
+    )
+    transactions_table.upsert(materialize(reported(scored), "possible-fraud"))
+    return counts.get["fraud"], counts.get["valid"]
 
 
 def fraud_view(gold: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .functions import scalar
 from .operators.decode import decode_json, split_decoded
 from .operators.dedup import keep_latest
 from .operators.fuzzy import add_subdivision, match_subdivisions
-from .operators.lookup import add_country, resolve_customers
+from .operators.lookup import account_owners, add_country, resolve_customers
 from .operators.merge import merge
 from .operators.scoring import flag_fraud, fraud_counts, pandas_scorer
 from .plans import adapters, gold, ingest, monitor, silver, summary
@@ -56,7 +56,10 @@ def _silver_customers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return latest_profiles(adapters.transactions(spark, sf, with_seq=True), adapters.customers(spark, sf))
+    return latest_profiles(
+        adapters.transactions(spark, sf, with_seq=True),
+        account_owners(adapters.customers(spark, sf)),
+    )
 
 
 def _silver_transactions(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,9 +88,8 @@ def profile_latest(spark, sf):
 
 @query
 def receiver_lookup(spark, sf):
-    found = resolve_customers(
-        adapters.transactions(spark, sf), adapters.customers(spark, sf), "receiver_account"
-    )
+    owners = materialize(account_owners(adapters.customers(spark, sf)), "account-owners")
+    found = resolve_customers(adapters.transactions(spark, sf), owners, "receiver_account")
     return found.select("_id", "receiver_account", "customer_id")
 
 
@@ -471,17 +473,23 @@ def tail_100(spark, sf):
 
 
 def _tier_counts(spark, sf):
+    """Counts over stored silver and gold tables, as the jobs leave them."""
+    customers = materialize(_silver_customers(spark, sf), "silver-customers")
+    profiles = materialize(_profiles(spark, sf), "silver-profiles")
+    transactions = materialize(_silver_transactions(spark, sf), "silver-transactions")
+    gold_customers = materialize(gold.gold_customers(customers, profiles), "gold-customers")
+    after_fraud = merge(gold.gold_transactions(transactions), _possible_fraud(spark, sf))
     bronze_and_silver = monitor.tier_counts(
         {
             ("bronze", "transactions"): adapters.transactions(spark, sf),
             ("bronze", "customers"): adapters.customers(spark, sf),
-            ("silver", "profiles"): _profiles(spark, sf),
-            ("silver", "transactions"): _silver_transactions(spark, sf),
-            ("silver", "customers"): _silver_customers(spark, sf),
+            ("silver", "profiles"): profiles,
+            ("silver", "transactions"): transactions,
+            ("silver", "customers"): customers,
         }
     )
     return bronze_and_silver.unionByName(
-        monitor.gold_counts(_gold_customers(spark, sf), _gold_after_fraud(spark, sf))
+        monitor.gold_counts(gold_customers, materialize(after_fraud, "gold-transactions"))
     )
 
 
@@ -569,10 +577,11 @@ class _Ingested:
         self.bronze = ChangeLog(scratch_path(spark, "bronze"), schemas.TRANSACTIONS)
         self.profiles = ChangeLog(scratch_path(spark, "profiles"), schemas.PROFILES)
         self.dead = DeadLetters(scratch_path(spark, "dead"))
-        self.topic = _topic(spark, sf, damaged)
+        owners = VersionedTable(scratch_path(spark, "account-owners"))
+        owners.publish(account_owners(adapters.customers(spark, sf)))
         ingest_transactions(
-            spark, self.topic, self.bronze, self.profiles, self.dead,
-            lambda s: adapters.customers(s, sf), scratch_path(spark, "checkpoint"),
+            spark, _topic(spark, sf, damaged), self.bronze, self.profiles, self.dead,
+            owners.read, scratch_path(spark, "checkpoint"),
         ).awaitTermination()
 
 
@@ -682,11 +691,14 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
     ingest.ingest_customers(spark, csv, bronze_customers, batch_id=1)
     ingest.ingest_customers(spark, csv, bronze_customers, batch_id=2)
 
+    owners = VersionedTable(scratch_path(spark, "account-owners"))
+    owners.publish(account_owners(bronze_customers.current(spark)))
+
     bronze = ChangeLog(scratch_path(spark, "bronze"), schemas.TRANSACTIONS)
     profiles = ChangeLog(scratch_path(spark, "profiles"), schemas.PROFILES)
     ingest_transactions(
         spark, _topic(spark, sf), bronze, profiles, DeadLetters(scratch_path(spark, "dead")),
-        bronze_customers.current, scratch_path(spark, "checkpoint"),
+        owners.read, scratch_path(spark, "checkpoint"),
     ).awaitTermination()
 
     silver_customers = VersionedTable(scratch_path(spark, "silver-customers"))
@@ -704,10 +716,9 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
     customers_table = VersionedTable(scratch_path(spark, "gold-customers"))
     transactions_table = VersionedTable(scratch_path(spark, "gold-transactions"))
     gold.consolidate(
-        spark, silver_customers.read(spark), profiles.current(spark),
-        silver_transactions.read(spark), customers_table, transactions_table,
+        spark, silver_customers, profiles, silver_transactions, customers_table, transactions_table
     )
-    gold.detect_fraud(bronze.current(spark), transactions_table)
+    gold.detect_fraud(spark, bronze, transactions_table)
     return customers_table, transactions_table
 
 

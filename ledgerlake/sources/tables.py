@@ -10,7 +10,6 @@ Where a catalog offers a table format with row-level changes, use
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +18,11 @@ from pyspark.sql.types import StructType
 
 from ..operators.dedup import keep_latest
 from ..operators.merge import merge
-from ..schemas import table
+from ..schemas import table as columns
 from .files import read_parquet_or_empty
 
-_LOG_COLUMNS = table(_seq="long", _commit_ts="timestamp", batch_id="long")
-_COMMIT_COLUMNS = table(version="long", committed_at="timestamp")
+_LOG_COLUMNS = columns(_seq="long", _commit_ts="timestamp", batch_id="long")
+_COMMIT_COLUMNS = columns(version="long", committed_at="timestamp")
 
 
 @dataclass(frozen=True)
@@ -71,7 +70,8 @@ class ChangeLog:
     ) -> None:
         """Write many batches at once, as a backfill does; ``batch_id`` is per row."""
         rows = self._with_log_columns(df, seq, batch_id, commit_ts)
-        self._overwrite_batches(rows.repartition("batch_id", F.xxhash64(self.key) % 64))
+        # Rows of one batch go together, and a batch too large for a task is split.
+        self._overwrite_batches(rows.hint("rebalance", "batch_id"))
 
     def _overwrite_batches(self, rows: DataFrame) -> None:
         (
@@ -85,6 +85,10 @@ class ChangeLog:
         """All rows of all batches; empty if nothing was written yet."""
         return read_parquet_or_empty(spark, self.path, self.stored_schema)
 
+    def is_empty(self, spark: SparkSession) -> bool:
+        """Looks at the stored rows, so no deduplication runs."""
+        return self.rows(spark).isEmpty()
+
     def current(self, spark: SparkSession, with_seq: bool = False) -> DataFrame:
         """The latest whole row per key."""
         latest = keep_latest(self.rows(spark), self.key, ["_seq", "batch_id"])
@@ -149,6 +153,10 @@ class VersionedTable:
     def exists(self, spark: SparkSession) -> bool:
         return self.location(spark) is not None
 
+    def is_empty(self, spark: SparkSession) -> bool:
+        location = self.location(spark)
+        return location is None or spark.read.parquet(location).isEmpty()
+
     def read(self, spark: SparkSession) -> DataFrame:
         location = self.location(spark)
         if location:
@@ -157,6 +165,9 @@ class VersionedTable:
             raise ValueError(f"{self.path} was never written and has no schema")
         return spark.createDataFrame([], self.schema)
 
+    def current(self, spark: SparkSession) -> DataFrame:
+        return self.read(spark)
+
     def publish(self, df: DataFrame) -> int:
         """Write ``df`` as the next version, then record it."""
         spark = df.sparkSession
@@ -185,9 +196,11 @@ class VersionedTable:
         )
 
 
-def require_rows(*inputs: Callable[[], DataFrame] | DataFrame) -> None:
+Table = ChangeLog | VersionedTable
+
+
+def require_rows(spark: SparkSession, *tables: Table) -> None:
     """Stop a job before it starts if one of its inputs is missing or empty."""
-    for i, source in enumerate(inputs):
-        df = source() if callable(source) else source
-        if df.isEmpty():
-            raise ValueError(f"input {i + 1} of {len(inputs)} has no rows")
+    for table in tables:
+        if table.is_empty(spark):
+            raise ValueError(f"no rows in {table.path}")

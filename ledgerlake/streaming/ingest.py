@@ -61,13 +61,15 @@ def ingest_transactions(
     bronze: ChangeLog,
     profiles: ChangeLog,
     dead: DeadLetters,
-    customers: Callable[[SparkSession], DataFrame],
+    owners: Callable[[SparkSession], DataFrame],
     checkpoint: str,
     scorer: Scorer = PROFILE_SCORER,
 ) -> StreamingQuery:
     """Land transactions and keep each receiver's profile up to date.
 
-    ``customers`` is called per batch, so customers that arrived meanwhile are seen.
+    ``owners`` reads the account directory (``account_owners``, stored whenever
+    customers are loaded). It is called per batch, so that new customers are seen, and
+    a batch costs a two-column read of it rather than a deduplication of all customers.
     All three writes replace their own batch; the order of profiles is the topic's
     offset, so late batches cannot replace newer profiles.
     """
@@ -77,7 +79,7 @@ def ingest_transactions(
         good, bad = split_decoded(decoded, topic.name or topic.location)
         bronze.write_batch(good, batch_id, seq=F.col("offset"))
         dead.write(bad, batch_id)
-        latest = latest_profiles(good, customers(batch.sparkSession), scorer, seq="offset")
+        latest = latest_profiles(good, owners(batch.sparkSession), scorer, seq="offset")
         profiles.write_batch(latest, batch_id, seq=F.col("_seq"))
         decoded.unpersist()
 
