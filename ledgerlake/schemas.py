@@ -54,6 +54,10 @@ TRANSACTIONS = table(
 )
 PROFILES = table(_id="string", score="long")
 SILVER_CUSTOMERS = table(**dict.fromkeys((*CUSTOMER_COLUMNS, "country", "iso3166_2"), "string"))
+SILVER_TRANSACTIONS = table(
+    _id="string", sender_account="string", receiver_account="string",
+    amount="double", transaction_date="double", category="string",
+)
 GOLD_CUSTOMERS = table(**{**dict.fromkeys(GOLD_CUSTOMER_COLUMNS, "string"), "score": "long"})
 GOLD_TRANSACTIONS = table(
     _id="string", amount="double", category="string", transaction_date="double", fraud="boolean"

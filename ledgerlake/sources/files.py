@@ -31,10 +31,11 @@ def read_csv_text(
 ) -> DataFrame:
     """Every value as text, names from the header; ``_damaged`` holds malformed rows.
 
+    A field with nothing in it is null, a quoted empty one is the empty text.
     Values that may contain line breaks need ``multi_line``, which reads a file in one
     task; without it a large file is split.
     """
-    options = {**CSV_QUOTED, "multiLine": str(multi_line).lower()}
+    options = {**CSV_QUOTED, "multiLine": str(multi_line).lower(), "nullValue": "\u0000"}
     return (
         spark.read.options(**options)
         .schema(as_text(schema).add(DAMAGED, "string"))

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -41,8 +41,6 @@ def test_twelve_hour_clock(spark):
 
 
 def test_millis(spark):
-    at = int(datetime(2024, 7, 1, 13, 4, 5).timestamp() * 1000)
-    from datetime import timezone
 
     at = int(datetime(2024, 7, 1, 13, 4, 5, tzinfo=timezone.utc).timestamp() * 1000)
     assert one(spark, scalar.format_millis("c"), at, "bigint") == "2024-07-01 13:04:05"
