@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fold_name
+from ..session import materialize
 
 # Points of an exact hit, of a hit at the start of the name, the loss
 # per character of offset, and the least a contained text gets.
@@ -116,14 +117,15 @@ def near_matches(texts: DataFrame, subdivisions: DataFrame, max_distance: int) -
 def match_subdivisions(names: DataFrame, subdivisions: DataFrame, max_distance: int = 2) -> DataFrame:
     """``name, iso3166_2`` for each distinct non-blank name that has a hit.
 
-    ``names`` has one column. Work grows with the number of distinct names, not with
-    the rows they come from.
+    ``names`` has one column. It is read once: its distinct values are stored, and all
+    that follows grows with their number, not with the rows they come from.
     """
     source = names.columns[0]
-    distinct = (
+    distinct = materialize(
         names.select(F.col(source).alias("name"), fold_name(source).alias("text"))
         .where(F.col("text") != "")
-        .distinct()
+        .distinct(),
+        "distinct-names",
     )
     index = needle_index(subdivisions).withColumnRenamed("needle", "text")
     hits = distinct.join(index, "text", "left")

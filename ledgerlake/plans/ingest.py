@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import file_order, keep_latest
 from ..sources.files import DAMAGED, read_csv_text, read_csv_typed
-from ..sources.tables import ChangeLog
+from ..sources.tables import ChangeLog, DeadLetters
 
 
-def ingest_customers(spark: SparkSession, csv_path: str, bronze: ChangeLog, batch_id: int) -> None:
-    """Customer CSV to bronze: all text, last row per id, then one log batch."""
+def ingest_customers(
+    spark: SparkSession,
+    csv_path: str,
+    bronze: ChangeLog,
+    batch_id: int,
+    dead: DeadLetters | None = None,
+) -> None:
+    """Customer CSV to bronze: all text, last row per id, then one log batch.
+
+    Malformed rows and rows without an id go to ``dead``.
+    """
     scanned = file_order(read_csv_text(spark, csv_path, bronze.schema))
     _land_latest(scanned.where(F.col(DAMAGED).isNull()), bronze, batch_id)
+    if dead:
+        dead.write(damaged_customers(spark, csv_path, bronze), batch_id)
 
 
 def ingest_customers_typed(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +11,6 @@ from ..operators.lookup import add_country
 from ..schemas import CATEGORIES, SILVER_CUSTOMERS
 from ..session import materialize
 
-Store = Callable[[DataFrame, str], DataFrame]
-
-
 def refine_customers(
     customers: DataFrame,
     countries: DataFrame,
@@ -23,7 +18,6 @@ def refine_customers(
     max_distance: int = 2,
     not_found: str = "not found",
     mask_account: int = 0,
-    store: Store = materialize,
 ) -> DataFrame:
     """Enrich and mask customers that are already unique on their id.
 
@@ -33,7 +27,7 @@ def refine_customers(
     """
     if "id" in customers.columns and "_id" not in customers.columns:
         customers = customers.withColumnRenamed("id", "_id")
-    matches = store(
+    matches = materialize(
         match_subdivisions(customers.select("county"), subdivisions, max_distance), "county-matches"
     )
     refined = add_subdivision(add_country(customers, countries, not_found=not_found), matches)

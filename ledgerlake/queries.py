@@ -23,11 +23,11 @@ from .plans.profiles import latest_profiles
 from .schemas import table
 from .session import materialize, scratch_path
 from .sources import documents, files
-from .sources.tables import ChangeLog, VersionedTable
+from .sources.tables import ChangeLog, DeadLetters, VersionedTable
 from .sources.topics import Topic, as_messages
 from .streaming.changes import detect_on_change
 from .streaming.flow import files_to_topic, topic_to_tables
-from .streaming.ingest import DeadLetters, ingest_transactions
+from .streaming.ingest import ingest_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -688,8 +688,8 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
     raw = adapters.customers(spark, sf).withColumn("address", scalar.one_line("address"))
     files.write_csv(raw, csv)
     bronze_customers = ChangeLog(scratch_path(spark, "bronze-customers"), schemas.CUSTOMERS)
-    ingest.ingest_customers(spark, csv, bronze_customers, batch_id=1)
-    ingest.ingest_customers(spark, csv, bronze_customers, batch_id=2)
+    for batch_id in (1, 2):
+        ingest.ingest_customers(spark, csv, bronze_customers, batch_id)
 
     owners = VersionedTable(scratch_path(spark, "account-owners"))
     owners.publish(account_owners(bronze_customers.current(spark)))

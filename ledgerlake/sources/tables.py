@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.dedup import keep_latest
 from ..operators.merge import merge
+from ..schemas import DEAD_LETTERS
 from ..schemas import table as columns
 from .files import read_parquet_or_empty
 
@@ -196,6 +197,25 @@ class VersionedTable:
         )
 
 
+@dataclass(frozen=True)
+class DeadLetters:
+    """Rejected rows with ``reason, raw, source``, one directory per batch."""
+
+    path: str
+
+    def write(self, bad: DataFrame, batch_id: int) -> None:
+        (
+            bad.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(self.path)
+        )
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return read_parquet_or_empty(spark, self.path, DEAD_LETTERS)
+
+
 Table = ChangeLog | VersionedTable
 
 

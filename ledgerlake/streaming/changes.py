@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.scoring import FRAUD_THRESHOLD, Scorer
 from ..plans.gold import FRAUD_SCORER, possible_fraud
 from ..sources.tables import ChangeLog
-from .ingest import run_available
+from .ingest import run
 
 
 def detect_on_change(
@@ -20,6 +20,7 @@ def detect_on_change(
     scorer: Scorer = FRAUD_SCORER,
     threshold: int = FRAUD_THRESHOLD,
     files_per_batch: int = 1000,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Follow the bronze change log and log the flagged transactions.
 
@@ -37,4 +38,4 @@ def detect_on_change(
         flagged = possible_fraud(batch.drop("batch_id", "_commit_ts"), scorer, threshold)
         fraud.write_batch(flagged, batch_id, seq=F.col("_seq"))
 
-    return run_available(changes, handle, checkpoint, "detect_on_change")
+    return run(changes, handle, checkpoint, "detect_on_change", every)

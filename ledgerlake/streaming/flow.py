@@ -10,13 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import pick_category
-from ..operators.decode import decode_json, reject_reason, split_decoded
+from ..operators.decode import decode_json, split_decoded
 from ..plans.silver import blank_accounts
 from ..schemas import TRANSACTIONS
 from ..sources.files import CSV_DIALECT, as_text
-from ..sources.tables import ChangeLog
+from ..sources.tables import ChangeLog, DeadLetters
 from ..sources.topics import Topic, as_messages
-from .ingest import DeadLetters, run_available
+from .ingest import kept, run
 
 # The flow draws from the first ten categories, and takes this many
 # files per poll.
@@ -38,6 +38,7 @@ def topic_to_tables(
     dead: DeadLetters,
     checkpoint: str,
     schema: StructType = TRANSACTIONS,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Each batch goes to bronze, gets a category, goes to silver, loses its accounts and
     is inserted into a relational table. A hop runs only after the one before it has
@@ -45,17 +46,16 @@ def topic_to_tables(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_json(batch.select("value", "offset"), schema).persist()
-        good, bad = split_decoded(decoded, topic.name or topic.location)
-        dead.write(bad, batch_id)
-        cells = as_cells(good)
-        bronze.write_batch(cells, batch_id, seq=F.col("offset"))
-        categorised = cells.withColumn("category", pick_category("_id", FLOW_CATEGORIES))
-        silver.write_batch(categorised, batch_id, seq=F.col("offset"))
-        relational(blank_accounts(categorised.drop("offset")), batch_id)
-        decoded.unpersist()
+        with kept(decode_json(batch.select("value", "offset"), schema)) as decoded:
+            good, bad = split_decoded(decoded, topic.name or topic.location)
+            dead.write(bad, batch_id)
+            cells = as_cells(good)
+            bronze.write_batch(cells, batch_id, seq=F.col("offset"))
+            categorised = cells.withColumn("category", pick_category("_id", FLOW_CATEGORIES))
+            silver.write_batch(categorised, batch_id, seq=F.col("offset"))
+            relational(blank_accounts(categorised.drop("offset")), batch_id)
 
-    return run_available(topic.read_stream(spark), handle, checkpoint, "topic_to_tables")
+    return run(topic.read_stream(spark), handle, checkpoint, "topic_to_tables", every)
 
 
 def files_to_topic(
@@ -70,6 +70,7 @@ def files_to_topic(
     schema: StructType = TRANSACTIONS,
     delete_read_files: bool = True,
     files_per_poll: int = FILES_PER_POLL,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Pick up dropped CSV files, publish their rows keyed by ``_id``, log what was sent.
 
@@ -92,19 +93,21 @@ def files_to_topic(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         raw = F.coalesce(F.col("_damaged"), F.to_csv(F.struct(*names)))
-        rows = batch.select(F.struct(*names).alias("record"), raw.alias("value"), "_damaged").persist()
-        good, bad = split_decoded(rows, directory)
-        typed = good.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
-        topic.publish(as_messages(typed, offset), batch_id)
-        dead.write(bad, batch_id)
-        if audit_path:
-            (
-                typed.withColumn("batch_id", F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .json(audit_path)
+        rows = batch.select(F.struct(*names).alias("record"), raw.alias("value"), "_damaged")
+        with kept(rows):
+            good, bad = split_decoded(rows, directory)
+            typed = good.select(
+                [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
             )
-        rows.unpersist()
-
-    return run_available(files, handle, checkpoint, "files_to_topic")
+            topic.publish(as_messages(typed, offset), batch_id)
+            dead.write(bad, batch_id)
+            if audit_path:
+                (
+                    typed.withColumn("batch_id", F.lit(batch_id))
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("batch_id")
+                    .json(audit_path)
+                )
+
+    return run(files, handle, checkpoint, "files_to_topic", every)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,49 +12,44 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.decode import decode_json, split_decoded
 from ..operators.scoring import Scorer
 from ..plans.profiles import PROFILE_SCORER, latest_profiles
-from ..schemas import DEAD_LETTERS, TRANSACTIONS
-from ..sources.files import read_parquet_or_empty
-from ..sources.tables import ChangeLog
+from ..schemas import TRANSACTIONS
+from ..sources.tables import ChangeLog, DeadLetters
 from ..sources.topics import Topic
 
 
-@dataclass(frozen=True)
-class DeadLetters:
-    """Rejected rows with ``reason, raw, source``, one directory per batch."""
-
-    path: str
-
-    def write(self, bad: DataFrame, batch_id: int) -> None:
-        (
-            bad.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(self.path)
-        )
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        return read_parquet_or_empty(spark, self.path, DEAD_LETTERS)
-
-
-def run_available(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, name: str
+def run(
+    stream: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    name: str,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Process what is there now, batch by batch, then stop.
+    """Process what is there now, batch by batch, then stop; or go on, a batch ``every`` so often.
 
     The checkpoint is the consumer's position: it moves on only after ``handle`` has
     returned, so a failed batch is handled again. ``handle`` must make a repeated
     batch id harmless.
     """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .queryName(name)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a batch while its several writes run, so that it is decoded once."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def ingest_transactions(
     spark: SparkSession,
     topic: Topic,
@@ -64,6 +59,7 @@ def ingest_transactions(
     owners: Callable[[SparkSession], DataFrame],
     checkpoint: str,
     scorer: Scorer = PROFILE_SCORER,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Land transactions and keep each receiver's profile up to date.
 
@@ -75,12 +71,11 @@ def ingest_transactions(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_json(batch.select("value", "offset"), TRANSACTIONS).persist()
-        good, bad = split_decoded(decoded, topic.name or topic.location)
-        bronze.write_batch(good, batch_id, seq=F.col("offset"))
-        dead.write(bad, batch_id)
-        latest = latest_profiles(good, owners(batch.sparkSession), scorer, seq="offset")
-        profiles.write_batch(latest, batch_id, seq=F.col("_seq"))
-        decoded.unpersist()
-
-    return run_available(topic.read_stream(spark), handle, checkpoint, "ingest_transactions")
+        with kept(decode_json(batch.select("value", "offset"), TRANSACTIONS)) as decoded:
+            good, bad = split_decoded(decoded, topic.name or topic.location)
+            bronze.write_batch(good, batch_id, seq=F.col("offset"))
+            dead.write(bad, batch_id)
+            latest = latest_profiles(good, owners(batch.sparkSession), scorer, seq="offset")
+            profiles.write_batch(latest, batch_id, seq=F.col("_seq"))
+
+    return run(topic.read_stream(spark), handle, checkpoint, "ingest_transactions", every)

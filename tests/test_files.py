@@ -9,7 +9,7 @@ from conftest import rows
 from ledgerlake.plans import ingest
 from ledgerlake.schemas import table
 from ledgerlake.sources import files
-from ledgerlake.sources.tables import ChangeLog
+from ledgerlake.sources.tables import ChangeLog, DeadLetters
 
 SCHEMA = table(_id="string", name="string", amount="string")
 
@@ -50,11 +50,11 @@ def test_flow_dialect_trims_and_escapes(spark):
 
 def test_customer_load_keeps_the_last_row_and_rejects_the_rest(spark, path):
     target = write(path("c.csv"), "_id,name,amount\n1,a,1\n2,b,2\n1,c,3\n,d,4\n5,e,5,6,7\n")
-    log = ChangeLog(path("bronze"), SCHEMA)
+    log, letters = ChangeLog(path("bronze"), SCHEMA), DeadLetters(path("dead"))
     for batch in (1, 2):
-        ingest.ingest_customers(spark, target, log, batch)
+        ingest.ingest_customers(spark, target, log, batch, letters)
     assert rows(log.current(spark)) == [("1", "c", "3"), ("2", "b", "2")]
-    dead = ingest.damaged_customers(spark, target, log)
+    dead = letters.read(spark).where("batch_id = 2")
     assert sorted(r.reason for r in dead.collect()) == ["damaged", "missing key"]
     assert {"5,e,5,6,7"} <= {r.raw for r in dead.collect()}
 

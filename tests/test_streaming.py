@@ -8,11 +8,11 @@ from ledgerlake.operators.lookup import account_owners
 from ledgerlake.plans.gold import possible_fraud
 from ledgerlake.plans.profiles import latest_profiles
 from ledgerlake.schemas import PROFILES, TRANSACTIONS, table
-from ledgerlake.sources.tables import ChangeLog
+from ledgerlake.sources.tables import ChangeLog, DeadLetters
 from ledgerlake.sources.topics import Topic, as_messages
 from ledgerlake.streaming.changes import detect_on_change
 from ledgerlake.streaming.flow import FLOW_CATEGORIES, files_to_topic, topic_to_tables
-from ledgerlake.streaming.ingest import DeadLetters, ingest_transactions
+from ledgerlake.streaming.ingest import ingest_transactions
 
 N = 400
 
