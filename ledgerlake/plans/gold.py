@@ -62,8 +62,11 @@ def consolidate(
     """
     require_rows(spark, profiles, customers, transactions)
     customers_table.upsert(gold_customers(customers.current(spark), profiles.current(spark)))
-    keep = ("fraud",) if preserve_flags else ()
-    transactions_table.upsert(gold_transactions(transactions.current(spark)), flags_to_keep=keep)
+    transactions_table.upsert(
+        gold_transactions(transactions.current(spark)),
+        clustered=transactions_table.same_buckets(transactions),
+        flags_to_keep=("fraud",) if preserve_flags else (),
+    )
 
 
 def detect_fraud(

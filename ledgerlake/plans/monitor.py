@@ -80,6 +80,17 @@ def metric_row(counters: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     return counters.groupBy().pivot("metric", list(metrics)).agg(F.first("value"))
 
 
+def snapshot(counts: DataFrame, progress: DataFrame) -> DataFrame:
+    """All counters in one row, from ``tier_counts`` with gold, and ``topic_progress``."""
+    series = F.replace("series", F.lit("fraud_activity"), F.lit("fraud"))
+    tiers = counts.select(F.concat_ws("_", "tier", series).alias("metric"), "value")
+    topic = progress.agg(
+        F.max("published").alias("transactions_ingested"),
+        F.min("processed").alias("transactions_processed"),
+    ).unpivot([], ["transactions_ingested", "transactions_processed"], "metric", "value")
+    return metric_row(tiers.unionByName(topic))
+
+
 def watched_metrics(messages: DataFrame, names: Sequence[str], value: str = "value") -> DataFrame:
     """From metric messages (a JSON array each), the first record if its name is watched."""
     first = F.try_element_at(F.from_json(F.col(value).cast("string"), METRIC_RECORD), F.lit(1))

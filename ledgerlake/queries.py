@@ -515,19 +515,9 @@ def lag_series(spark, sf):
 
 @query
 def metrics_row(spark, sf):
-    tiers = _tier_counts(spark, sf).select(
-        F.concat_ws("_", "tier", F.replace("series", F.lit("fraud_activity"), F.lit("fraud"))).alias("metric"),
-        "value",
+    return monitor.snapshot(
+        _tier_counts(spark, sf), monitor.topic_progress(adapters.cursors(spark, sf))
     )
-    topic = (
-        monitor.topic_progress(adapters.cursors(spark, sf))
-        .agg(
-            F.max("published").alias("transactions_ingested"),
-            F.min("processed").alias("transactions_processed"),
-        )
-        .unpivot([], ["transactions_ingested", "transactions_processed"], "metric", "value")
-    )
-    return monitor.metric_row(tiers.unionByName(topic))
 
 
 @query
@@ -550,8 +540,8 @@ def _partitions(spark) -> int:
 
 
 def _third(spark) -> int:
-    """Files per micro-batch, so that every run has at least three of them."""
-    return _partitions(spark) // 3
+    """Files per micro-batch, for runs of several batches."""
+    return -(-_partitions(spark) // 3)
 
 
 def _topic(spark, sf, damaged: bool = False) -> Topic:
@@ -701,7 +691,8 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
         owners.read, scratch_path(spark, "checkpoint"),
     ).awaitTermination()
 
-    silver_customers = VersionedTable(scratch_path(spark, "silver-customers"))
+    buckets = _partitions(spark)
+    silver_customers = VersionedTable(scratch_path(spark, "silver-customers"), buckets=buckets)
     silver_customers.upsert(
         silver.refine_customers(
             bronze_customers.current(spark),
@@ -710,11 +701,11 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
         ),
         mode="replace",
     )
-    silver_transactions = VersionedTable(scratch_path(spark, "silver-transactions"))
+    silver_transactions = VersionedTable(scratch_path(spark, "silver-transactions"), buckets=buckets)
     silver_transactions.upsert(silver.refine_transactions(bronze.current(spark)), mode="replace")
 
-    customers_table = VersionedTable(scratch_path(spark, "gold-customers"))
-    transactions_table = VersionedTable(scratch_path(spark, "gold-transactions"))
+    customers_table = VersionedTable(scratch_path(spark, "gold-customers"), buckets=buckets)
+    transactions_table = VersionedTable(scratch_path(spark, "gold-transactions"), buckets=buckets)
     gold.consolidate(
         spark, silver_customers, profiles, silver_transactions, customers_table, transactions_table
     )

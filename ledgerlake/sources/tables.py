@@ -10,6 +10,7 @@ Where a catalog offers a table format with row-level changes, use
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,10 @@ from ..operators.dedup import keep_latest
 from ..operators.merge import merge
 from ..schemas import DEAD_LETTERS
 from ..schemas import table as columns
-from .files import read_parquet_or_empty
+from .files import ddl, read_parquet_or_empty
 
 _LOG_COLUMNS = columns(_seq="long", _commit_ts="timestamp", batch_id="long")
-_COMMIT_COLUMNS = columns(version="long", committed_at="timestamp")
+_COMMIT_COLUMNS = columns(version="long", directory="string", committed_at="timestamp")
 
 
 @dataclass(frozen=True)
@@ -135,21 +136,30 @@ class ChangeLog:
 
 @dataclass(frozen=True)
 class VersionedTable:
-    """Merged state in ``v<n>`` directories; ``commits`` says which are complete."""
+    """Merged state, a directory per version; ``commits`` says which are complete.
+
+    With ``buckets`` the files are bucketed and sorted by the key. A merge then reads
+    the stored side in place and shuffles only the source, and two tables with equal
+    buckets are joined on the key without any shuffle. Choose the number so that a
+    bucket fits a task (some hundred megabytes); it must stay as it is.
+    """
 
     path: str
     schema: StructType | None = None
+    buckets: int = 0
+    key: str = "_id"
 
     def commits(self, spark: SparkSession) -> DataFrame:
         return read_parquet_or_empty(spark, f"{self.path}/commits", _COMMIT_COLUMNS)
 
-    def last_version(self, spark: SparkSession) -> int:
-        return self.commits(spark).agg(F.max("version")).first()[0] or 0
+    def _last_commit(self, spark: SparkSession) -> tuple[int, str | None]:
+        last = self.commits(spark).agg(F.max(F.struct("version", "directory"))).first()[0]
+        return (last.version, last.directory) if last else (0, None)
 
     def location(self, spark: SparkSession) -> str | None:
         """The directory of the last complete version: what other engines should read."""
-        version = self.last_version(spark)
-        return f"{self.path}/v{version}" if version else None
+        _, directory = self._last_commit(spark)
+        return f"{self.path}/{directory}" if directory else None
 
     def exists(self, spark: SparkSession) -> bool:
         return self.location(spark) is not None
@@ -159,9 +169,10 @@ class VersionedTable:
         return location is None or spark.read.parquet(location).isEmpty()
 
     def read(self, spark: SparkSession) -> DataFrame:
-        location = self.location(spark)
-        if location:
-            return spark.read.parquet(location)
+        """The last complete version, or an empty typed frame before the first."""
+        version, directory = self._last_commit(spark)
+        if version:
+            return self._open(spark, directory)
         if self.schema is None:
             raise ValueError(f"{self.path} was never written and has no schema")
         return spark.createDataFrame([], self.schema)
@@ -169,25 +180,74 @@ class VersionedTable:
     def current(self, spark: SparkSession) -> DataFrame:
         return self.read(spark)
 
-    def publish(self, df: DataFrame) -> int:
-        """Write ``df`` as the next version, then record it."""
+    def _open(self, spark: SparkSession, directory: str) -> DataFrame:
+        location = f"{self.path}/{directory}"
+        stored = spark.read.parquet(location)
+        if not self.buckets:
+            return stored
+        # The session's catalog has to know the buckets for the planner to use them.
+        name = directory.replace("-", "_")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({ddl(stored.schema)}) USING parquet "
+            f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS "
+            f"LOCATION '{location}'"
+        )
+        return spark.table(name)
+
+    def publish(self, df: DataFrame, clustered: bool = False) -> int:
+        """Write ``df`` as the next version, then record it.
+
+        ``clustered`` rows already lie together by the table's buckets; others are
+        shuffled first, so that a bucket becomes one file.
+        """
+        return self._write_version(df, self._last_commit(df.sparkSession)[0] + 1, clustered)
+
+    def _write_version(self, df: DataFrame, version: int, clustered: bool) -> int:
         spark = df.sparkSession
-        version = self.last_version(spark) + 1
-        # An attempt that failed before its commit record may have left files here.
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        # Every attempt has a directory of its own: one that failed is never read.
+        directory = f"v{version}-{uuid.uuid4().hex}"
+        location = f"{self.path}/{directory}"
+        if self.buckets:
+            rows = df if clustered else df.repartition(self.buckets, self.key)
+            (
+                rows.write.format("parquet")
+                .bucketBy(self.buckets, self.key)
+                .sortBy(self.key)
+                .option("path", location)
+                .saveAsTable(directory.replace("-", "_"))
+            )
+        else:
+            df.write.parquet(location)
         record = spark.range(1).select(
             F.lit(version).cast("bigint").alias("version"),
+            F.lit(directory).alias("directory"),
             F.current_timestamp().alias("committed_at"),
         )
         record.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return version
 
-    def upsert(self, source: DataFrame, key: str = "_id", mode: str = "update", **options) -> int:
-        """Merge ``source`` (unique on ``key``) into the last version, or create the first."""
+    def upsert(
+        self, source: DataFrame, mode: str = "update", clustered: bool = False, **options
+    ) -> int:
+        """Merge ``source`` (unique on the key) into the last version, or create the first.
+
+        Say ``clustered`` if the source comes, without a shuffle in between, from a table
+        with the same buckets.
+        """
         spark = source.sparkSession
-        if not self.exists(spark):
-            return self.publish(source.where(F.col(key).isNotNull()))
-        return self.publish(merge(self.read(spark), source, key, mode, **options))
+        version, directory = self._last_commit(spark)
+        if directory is None:
+            return self._write_version(source.where(F.col(self.key).isNotNull()), 1, clustered)
+        if self.buckets and not clustered:
+            # To the target's partitioning, or the planner might shuffle the target instead.
+            source = source.repartition(self.buckets, self.key)
+        merged = merge(self._open(spark, directory), source, self.key, mode, **options)
+        return self._write_version(merged, version + 1, clustered=True)
+
+    def same_buckets(self, other: object) -> bool:
+        return bool(self.buckets) and isinstance(other, VersionedTable) and (
+            (self.buckets, self.key) == (other.buckets, other.key)
+        )
 
     def history(self, spark: SparkSession) -> DataFrame:
         """Versions with their commit time."""

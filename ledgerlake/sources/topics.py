@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,15 @@ class Topic:
         reader = spark.readStream.schema(TOPIC_RECORD)
         if self.per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.per_trigger)
-        return reader.parquet(self.location)
+        return reader.parquet(self.location).select(*TOPIC_RECORD.names)
+
+    def order(self) -> Column:
+        """A number that orders all records of the topic.
+
+        Offsets of a Kafka topic only order one partition, so there it is the time at
+        which a record was appended.
+        """
+        return F.unix_micros("timestamp") if self.kind == "kafka" else F.col("offset")
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All records there are now."""
@@ -50,7 +59,7 @@ class Topic:
                 .load()
                 .select(*TOPIC_RECORD.names)
             )
-        return spark.read.schema(TOPIC_RECORD).parquet(self.location)
+        return spark.read.schema(TOPIC_RECORD).parquet(self.location).select(*TOPIC_RECORD.names)
 
     def publish(self, messages: DataFrame, batch_id: int | None = None) -> None:
         """Append messages (see ``as_messages``); with ``batch_id`` a replay replaces itself.
@@ -71,16 +80,14 @@ class Topic:
         records = messages.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in TOPIC_RECORD.fields]
         )
-        if batch_id is None:
-            records.write.mode("append").parquet(self.location)
-        else:
-            (
-                records.withColumn("batch", F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch")
-                .parquet(self.location)
-            )
+        batch = f"batch-{uuid.uuid4().hex if batch_id is None else batch_id}"
+        (
+            records.withColumn("batch", F.lit(batch))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(self.location)
+        )
 
 
 def as_messages(

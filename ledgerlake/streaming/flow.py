@@ -46,14 +46,15 @@ def topic_to_tables(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        with kept(decode_json(batch.select("value", "offset"), schema)) as decoded:
+        messages = batch.select("value", topic.order().alias("_seq"))
+        with kept(decode_json(messages, schema)) as decoded:
             good, bad = split_decoded(decoded, topic.name or topic.location)
             dead.write(bad, batch_id)
             cells = as_cells(good)
-            bronze.write_batch(cells, batch_id, seq=F.col("offset"))
+            bronze.write_batch(cells, batch_id, seq=F.col("_seq"))
             categorised = cells.withColumn("category", pick_category("_id", FLOW_CATEGORIES))
-            silver.write_batch(categorised, batch_id, seq=F.col("offset"))
-            relational(blank_accounts(categorised.drop("offset")), batch_id)
+            silver.write_batch(categorised, batch_id, seq=F.col("_seq"))
+            relational(blank_accounts(categorised.drop("_seq")), batch_id)
 
     return run(topic.read_stream(spark), handle, checkpoint, "topic_to_tables", every)
 

@@ -66,16 +66,17 @@ def ingest_transactions(
     ``owners`` reads the account directory (``account_owners``, stored whenever
     customers are loaded). It is called per batch, so that new customers are seen, and
     a batch costs a two-column read of it rather than a deduplication of all customers.
-    All three writes replace their own batch; the order of profiles is the topic's
-    offset, so late batches cannot replace newer profiles.
+    All three writes replace their own batch; the order of profiles is that of
+    the topic, so late batches cannot replace newer profiles.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        with kept(decode_json(batch.select("value", "offset"), TRANSACTIONS)) as decoded:
+        messages = batch.select("value", topic.order().alias("_seq"))
+        with kept(decode_json(messages, TRANSACTIONS)) as decoded:
             good, bad = split_decoded(decoded, topic.name or topic.location)
-            bronze.write_batch(good, batch_id, seq=F.col("offset"))
+            bronze.write_batch(good, batch_id, seq=F.col("_seq"))
             dead.write(bad, batch_id)
-            latest = latest_profiles(good, owners(batch.sparkSession), scorer, seq="offset")
+            latest = latest_profiles(good, owners(batch.sparkSession), scorer)
             profiles.write_batch(latest, batch_id, seq=F.col("_seq"))
 
     return run(topic.read_stream(spark), handle, checkpoint, "ingest_transactions", every)

@@ -197,3 +197,32 @@ def test_changes_drive_detection(spark, path, transactions):
     detect_on_change(spark, bronze, fraud, path("checkpoint")).awaitTermination()
     assert rows(fraud.current(spark)) == rows(possible_fraud(transactions.drop("_seq")))
     assert fraud.rows(spark).count() >= stored
+
+
+def test_continuous_trigger_picks_up_later_messages(spark, path, transactions):
+    topic = Topic(path("topic"))
+    first = F.col("_seq") < 100
+    topic.publish(messages(transactions.where(first)))
+    bronze = ChangeLog(path("bronze"), table(**dict.fromkeys(TRANSACTIONS.names, "string")))
+    silver = ChangeLog(path("silver"), table(**dict.fromkeys((*TRANSACTIONS.names, "category"), "string")))
+    query = topic_to_tables(
+        spark, topic, bronze, silver, lambda df, batch: None, DeadLetters(path("dead")),
+        path("checkpoint"), every="200 milliseconds",
+    )
+    try:
+        query.processAllAvailable()
+        topic.publish(messages(transactions.where(~first)))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert bronze.current_patched(spark).count() == N
+    assert bronze.rows(spark).select("batch_id").distinct().count() == 2
+
+
+def test_republished_batch_replaces_itself(spark, path, transactions):
+    topic = Topic(path("topic"))
+    for _ in range(2):
+        topic.publish(messages(transactions), batch_id=3)
+    topic.publish(messages(transactions.limit(5)))
+    assert topic.read(spark).count() == N + 5
+    assert topic.read(spark).columns == ["key", "value", "partition", "offset", "timestamp"]

@@ -1,8 +1,12 @@
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import rows
+from ledgerlake.operators.dedup import keep_latest
+from ledgerlake.operators.merge import merge
 from ledgerlake.schemas import table
 from ledgerlake.sources.tables import ChangeLog, VersionedTable, require_rows
 
@@ -72,13 +76,13 @@ def test_versions(spark, path):
     gold.upsert(frame(spark, [("a", 2, None, 0), ("b", 3, "z", 0)]).drop("n"), mode="patch")
     assert rows(gold.read(spark)) == [("a", 2, "x"), ("b", 3, "z")]
     assert [r.id for r in gold.history(spark).orderBy("id").collect()] == [1, 2]
-    assert gold.location(spark).endswith("v2")
+    assert "/v2-" in gold.location(spark)
 
 
 def test_an_unfinished_version_is_not_read(spark, path):
     gold = VersionedTable(path("gold"), SCHEMA)
     gold.upsert(frame(spark, [("a", 1, "x", 0)]).drop("n"))
-    frame(spark, [("broken", 0, "", 0)]).write.parquet(path("gold") + "/v2")
+    frame(spark, [("broken", 0, "", 0)]).write.parquet(path("gold") + "/v2-broken")
     assert rows(gold.read(spark)) == [("a", 1, "x")]
     gold.upsert(frame(spark, [("b", 2, "y", 0)]).drop("n"))
     assert rows(gold.read(spark)) == [("a", 1, "x"), ("b", 2, "y")]
@@ -100,3 +104,55 @@ def test_guard(spark, path):
         require_rows(spark, log, gold)
     gold.upsert(log.current(spark))
     require_rows(spark, log, gold)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def files_in(location):
+    return [f for f in os.listdir(location) if f.endswith(".parquet")]
+
+
+def test_bucketed_table_is_merged_in_place(no_broadcast, path):
+    spark = no_broadcast
+    silver = VersionedTable(path("silver"), buckets=3)
+    gold = VersionedTable(path("gold"), buckets=3)
+    rows_of = lambda low, high, v: spark.range(low, high).selectExpr("cast(id as string) _id", f"{v} as v")
+    silver.upsert(rows_of(0, 900, 1))
+    silver.upsert(rows_of(600, 1200, 2))
+    got = dict(silver.read(spark).collect())
+    assert len(got) == 1200 and got["599"] == 1 and got["600"] == got["1199"] == 2
+    assert len(files_in(silver.location(spark))) == 3
+
+    gold.upsert(rows_of(0, 300, 0))
+    assert gold.same_buckets(silver) and not gold.same_buckets(VersionedTable(path("x"), buckets=4))
+    joined = merge(gold.read(spark), silver.read(spark))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    gold.upsert(silver.read(spark), clustered=True)
+    assert rows(gold.read(spark)) == rows(silver.read(spark))
+    assert len(files_in(gold.location(spark))) == 3
+
+
+def test_source_of_many_partitions_does_not_move_the_target(no_broadcast, path):
+    spark = no_broadcast
+    gold = VersionedTable(path("gold"), buckets=2)
+    gold.upsert(spark.range(500).selectExpr("cast(id as string) _id", "id v"))
+    source = keep_latest(spark.range(400, 700).selectExpr("cast(id as string) _id", "id + 1 v"), "_id", "v")
+    merged = merge(gold.read(spark), source.repartition(2, "_id"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning(t_" not in plan
+    gold.upsert(source)
+    assert gold.read(spark).where("v = cast(_id as bigint) + 1").count() == 300
+    assert gold.read(spark).count() == 700
+
+
+def test_buckets_are_known_to_a_new_session(spark, path):
+    VersionedTable(path("t"), buckets=2).upsert(spark.range(9).selectExpr("cast(id as string) _id"))
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("v1_")]:
+        spark.sql(f"DROP TABLE {name}")
+    assert VersionedTable(path("t"), buckets=2).read(spark).count() == 9
