@@ -11,6 +11,9 @@ All three are equi-joins. For 1 and 2 every substring of a subdivision name beco
 a needle with its single best code, so the lookup side is unique per needle. For 3
 two texts within ``k`` edits share a text obtained by deleting at most ``k``
 characters from each, so joining on these deletions misses no pair.
+
+Exploded sides are joined by sort-merge on purpose: the planner does not foresee how
+many rows an explode yields and might broadcast a side that is far too large.
 """
 
 from __future__ import annotations
@@ -106,7 +109,7 @@ def near_matches(texts: DataFrame, subdivisions: DataFrame, max_distance: int) -
     )
     distance = F.levenshtein(F.col("text"), F.col("name"), max_distance)
     return (
-        left.join(right, "shared")
+        left.join(right.hint("merge"), "shared")
         .select("text", "code", distance.alias("distance"))
         .where(F.col("distance") >= 0)
         .groupBy("text")
@@ -128,7 +131,7 @@ def match_subdivisions(names: DataFrame, subdivisions: DataFrame, max_distance:
         "distinct-names",
     )
     index = needle_index(subdivisions).withColumnRenamed("needle", "text")
-    hits = distinct.join(index, "text", "left")
+    hits = distinct.join(index.hint("merge"), "text", "left")
     found = hits.where(F.col("best").isNotNull()).select("name", "best.code")
     if max_distance > 0:
         missed = hits.where(F.col("best").isNull()).select("name", "text")

@@ -234,6 +234,10 @@ ORACLE: dict[str, str] = {
         "coalesce(s.part, t.part) AS part, coalesce(s.quantity, t.quantity) AS quantity, t.status, s.tax"
     ),
     "reload_idempotent": f"WITH {_TRANSACTIONS} SELECT {_RAW} FROM v_transactions",
+    "late_profiles": f"WITH {_CUSTOMERS},{_TRANSACTIONS},{_PROFILES} SELECT * FROM s_profiles",
+    "customer_reload": f"""WITH {_CUSTOMERS}
+        SELECT _id, CASE WHEN c_acctbal < 0 THEN 'COLLECTION' ELSE company END AS company, account_number
+        FROM v_customers JOIN customer ON _id = CAST(c_custkey AS VARCHAR)""",
     "compacted_log": _merge(f"{_source_wins('part')}, {_source_wins('quantity')}"),
     "table_history": """SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS date,
         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS id, count(*) AS rows
@@ -289,6 +293,7 @@ ORACLE: dict[str, str] = {
         )
     )
     + " FROM m",
+    "flattened_series": "SELECT 'events_' || event_type AS series, CAST(trunc(value) AS BIGINT) AS value FROM events",
     "metric_stream_filter": """SELECT 'cluster' || user_id % 3 AS name, 'app.' || event_type AS series, value
         FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')""",
     "topic_round_trip": f"""WITH {_TRANSACTIONS}
@@ -302,6 +307,9 @@ ORACLE: dict[str, str] = {
     "stream_flow_silver": _FLOW,
     "stream_flow_relational": f"SELECT * REPLACE ('' AS sender_account, '' AS receiver_account) FROM ({_FLOW})",
     "file_to_topic": f"WITH {_TRANSACTIONS} SELECT {_RAW} FROM v_transactions",
+    "file_to_topic_rejects": f"""WITH {_TRANSACTIONS}
+        SELECT CASE WHEN receiver_account LIKE 'EXT%' THEN 'missing key' ELSE 'logged' END AS outcome,
+               receiver_account FROM v_transactions""",
     "cdc_fraud": f"WITH {_GOLD_TRANSACTIONS} SELECT * FROM flagged",
     "medallion_customers": f"WITH {_GOLD_CUSTOMERS} SELECT * FROM g_customers",
     "medallion_transactions": f"WITH {_GOLD_TRANSACTIONS} SELECT * FROM g_after",

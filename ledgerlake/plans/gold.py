@@ -61,7 +61,12 @@ def consolidate(
     detection is run after it.
     """
     require_rows(spark, profiles, customers, transactions)
-    customers_table.upsert(gold_customers(customers.current(spark), profiles.current(spark)))
+    scores = profiles.current(spark)
+    clustered = customers_table.same_buckets(customers)
+    if clustered:
+        # The scores go to the customers' buckets, so only they are shuffled.
+        scores = scores.repartition(customers_table.buckets, "_id")
+    customers_table.upsert(gold_customers(customers.current(spark), scores), clustered=clustered)
     transactions_table.upsert(
         gold_transactions(transactions.current(spark)),
         clustered=transactions_table.same_buckets(transactions),

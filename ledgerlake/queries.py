@@ -277,6 +277,32 @@ def reload_idempotent(spark, sf):
     return log.current(spark)
 
 
+@query
+def late_profiles(spark, sf):
+    """Profiles of two sets of transactions merged in either order: the newer one stays."""
+    owners = account_owners(adapters.customers(spark, sf))
+    rows = adapters.transactions(spark, sf, with_seq=True)
+    big = F.col("amount") > 200_000
+    first, second = (latest_profiles(rows.where(part), owners) for part in (big, ~big))
+    return merge(first, second, mode="replace", newest_by="_seq").select("_id", "score")
+
+
+@query
+def customer_reload(spark, sf):
+    """All customers, then a second file in which those in debt have another company."""
+    log = ChangeLog(scratch_path(spark, "bronze-customers"), schemas.CUSTOMERS)
+    raw = adapters.customers(spark, sf).withColumn("address", scalar.one_line("address"))
+    debtors = load(spark, sf, "customer").where("c_acctbal < 0").select(
+        F.col("c_custkey").cast("string").alias("_id")
+    )
+    loads = (raw, raw.join(debtors, "_id", "left_semi").withColumn("company", F.lit("COLLECTION")))
+    for batch_id, rows in enumerate(loads):
+        csv = scratch_path(spark, "customers-csv")
+        files.write_csv(rows.select(*schemas.CUSTOMERS.names), csv)
+        ingest.ingest_customers(spark, csv, log, batch_id)
+    return log.current(spark).select("_id", "company", "account_number")
+
+
 @query
 def compacted_log(spark, sf):
     log = ChangeLog(
@@ -520,6 +546,13 @@ def metrics_row(spark, sf):
     )
 
 
+@query
+def flattened_series(spark, sf):
+    """Each event as a map of series to value, flattened and cut to whole numbers."""
+    events = load(spark, sf, "events").select(F.create_map("event_type", "value").alias("values"))
+    return monitor.flatten_series(events, prefix="events")
+
+
 @query
 def metric_stream_filter(spark, sf):
     record = F.struct(
@@ -638,22 +671,44 @@ def stream_flow_relational(spark, sf):
     return _numbers(spark.read.parquet(_flow(spark, sf)[2]).drop("batch"))
 
 
+class _Dropped:
+    """Transactions dropped as CSV files and sent to a topic."""
+
+    def __init__(self, spark, rows: DataFrame):
+        dropped, self.audit_path = scratch_path(spark, "dropped"), scratch_path(spark, "audit")
+        rows.repartition(_partitions(spark)).write.options(**files.CSV_DIALECT).csv(dropped)
+        self.topic = Topic(scratch_path(spark, "topic"), name="transactions")
+        self.dead = DeadLetters(scratch_path(spark, "dead"))
+        files_to_topic(
+            spark, dropped, self.topic, F.col("_id").cast("bigint"), self.dead,
+            scratch_path(spark, "checkpoint"), file_pattern="part-*",
+            audit_path=self.audit_path, files_per_poll=_third(spark),
+        ).awaitTermination()
+
+
 @query
 def file_to_topic(spark, sf):
-    """Transactions dropped as CSV files, sent to a topic, decoded from it."""
-    dropped = scratch_path(spark, "dropped")
-    rows = adapters.transactions(spark, sf)
-    rows.repartition(_partitions(spark), "_id").write.options(**files.CSV_DIALECT).csv(dropped)
-    topic = Topic(scratch_path(spark, "topic"), name="transactions")
-    files_to_topic(
-        spark, dropped, topic, F.col("_id").cast("bigint"),
-        DeadLetters(scratch_path(spark, "dead")), scratch_path(spark, "checkpoint"),
-        file_pattern="part-*", audit_path=scratch_path(spark, "audit"),
-        files_per_poll=_third(spark),
-    ).awaitTermination()
+    topic = _Dropped(spark, adapters.transactions(spark, sf)).topic
     return decode_json(topic.read(spark), schemas.TRANSACTIONS).select("record.*")
 
 
+@query
+def file_to_topic_rejects(spark, sf):
+    """Rows for receivers outside the bank have lost their id: what is logged, what is rejected."""
+    rows = adapters.transactions(spark, sf)
+    outside = F.col("receiver_account").startswith("EXT")
+    run = _Dropped(spark, rows.withColumn("_id", F.when(~outside, F.col("_id"))))
+    logged = spark.read.schema(schemas.TRANSACTIONS).json(run.audit_path)
+    return (
+        logged.select(F.lit("logged").alias("outcome"), "receiver_account")
+        .unionByName(
+            run.dead.read(spark).select(
+                F.col("reason").alias("outcome"), F.split("raw", ",")[2].alias("receiver_account")
+            )
+        )
+    )
+
+
 @query
 def cdc_fraud(spark, sf):
     """Bronze filled in two loads, followed by detection on the changes."""
