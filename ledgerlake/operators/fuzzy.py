@@ -36,46 +36,34 @@ def _best(code: str, points: Column) -> Column:
 
 def needle_index(subdivisions: DataFrame) -> DataFrame:
     """``needle, best(rank, code)``: the best subdivision for each text that hits one."""
-    names = subdivisions.select("code", fold_name("name").alias("name"))
+    names = subdivisions.select(
+        "code", fold_name("code").alias("code_text"), fold_name("name").alias("name")
+    )
+    starts = F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")
+    lengths = F.sequence(F.lit(1), F.length("name") - F.col("at") + 1)
+    needles = F.explode(
+        F.transform(lengths, lambda n: F.substring(F.col("name"), F.col("at"), n))
+    ).alias("needle")
+    position_points = F.greatest(
+        F.lit(LEAST_POINTS), F.lit(CONTAINED_POINTS) - OFFSET_LOSS * (F.col("at") - 1)
+    )
+    is_exact = F.array_contains(F.split("name", ";"), F.col("needle")) | (
+        F.col("needle") == F.col("code_text")
+    )
     contained = (
-        names.select("code", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-        .select(
-            "code",
-            "at",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("name") - F.col("at") + 1),
-                    lambda n: F.substring(F.col("name"), F.col("at"), n),
-                )
-            ).alias("needle"),
-        )
-        .groupBy("code", "needle")
-        .agg(F.min("at").alias("at"))
+        names.select("*", starts)
+        .select("*", needles)
+        .where(F.expr("locate(needle, name)") == F.col("at"))
         .select(
             "code",
             "needle",
-            F.greatest(
-                F.lit(LEAST_POINTS), F.lit(CONTAINED_POINTS) - OFFSET_LOSS * (F.col("at") - 1)
-            ).alias("points"),
+            (position_points + F.when(is_exact, EXACT_POINTS).otherwise(0)).alias("points"),
         )
     )
-    exact = (
-        names.select(
-            "code",
-            F.explode(
-                F.array_append(F.split("name", ";"), fold_name("code"))
-            ).alias("needle"),
-        )
-        .distinct()
-        .select("code", "needle", F.lit(EXACT_POINTS).alias("points"))
-    )
-    return (
-        contained.unionByName(exact)
-        .groupBy("code", "needle")
-        .agg(F.sum("points").alias("points"))
-        .groupBy("needle")
-        .agg(_best("code", F.col("points")))
+    code_only = names.where(~F.contains(F.col("name"), F.col("code_text"))).select(
+        "code", F.col("code_text").alias("needle"), F.lit(EXACT_POINTS).alias("points")
     )
+    return contained.unionByName(code_only).groupBy("needle").agg(_best("code", F.col("points")))
 
 
 def deletions(text: Column, k: int) -> Column:
@@ -99,20 +87,20 @@ def _one_deletion(text: Column) -> Column:
     )
 
 
-def near_matches(texts: DataFrame, subdivisions: DataFrame, max_distance: int) -> DataFrame:
-    """``text, best(rank, code)`` for each text within ``max_distance`` edits of a name."""
-    left = texts.select(
-        "text", F.explode(deletions(F.col("text"), max_distance)).alias("shared")
+def near_matches(names: DataFrame, subdivisions: DataFrame, max_distance: int) -> DataFrame:
+    """``name, best(rank, code)`` for each ``name, text`` within ``max_distance`` edits."""
+    left = names.select(
+        "name", "text", F.explode(deletions(F.col("text"), max_distance)).alias("shared")
     )
-    right = subdivisions.select("code", fold_name("name").alias("name")).select(
-        "code", "name", F.explode(deletions(F.col("name"), max_distance)).alias("shared")
+    right = subdivisions.select("code", fold_name("name").alias("full_name")).select(
+        "code", "full_name", F.explode(deletions(F.col("full_name"), max_distance)).alias("shared")
     )
-    distance = F.levenshtein(F.col("text"), F.col("name"), max_distance)
+    distance = F.levenshtein(F.col("text"), F.col("full_name"), max_distance)
     return (
         left.join(right.hint("merge"), "shared")
-        .select("text", "code", distance.alias("distance"))
+        .select("name", "code", distance.alias("distance"))
         .where(F.col("distance") >= 0)
-        .groupBy("text")
+        .groupBy("name")
         .agg(_best("code", -F.col("distance")))
     )
 
@@ -131,13 +119,12 @@ def match_subdivisions(names: DataFrame, subdivisions: DataFrame, max_distance:
         "distinct-names",
     )
     index = needle_index(subdivisions).withColumnRenamed("needle", "text")
-    hits = distinct.join(index.hint("merge"), "text", "left")
-    found = hits.where(F.col("best").isNotNull()).select("name", "best.code")
+    hits = distinct.join(index.hint("merge"), "text", "left").select("name", "text", "best")
+    found = hits.where(F.col("best").isNotNull()).select("name", "best")
     if max_distance > 0:
         missed = hits.where(F.col("best").isNull()).select("name", "text")
-        near = near_matches(missed.select("text").distinct(), subdivisions, max_distance)
-        found = found.unionByName(missed.join(near, "text").select("name", "best.code"))
-    return found.select(F.col("name").alias(source), F.col("code").alias("iso3166_2"))
+        found = found.unionByName(near_matches(missed, subdivisions, max_distance))
+    return found.select(F.col("name").alias(source), F.col("best.code").alias("iso3166_2"))
 
 
 def add_subdivision(
