@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..operators.decode import encode_json
 from ..schemas import TOPIC_RECORD
 
-# Fixed value: records taken per poll.
-RECORDS_PER_POLL = 10_000
-
-
 @dataclass(frozen=True)
 class Topic:
-    """``location`` is a directory, or the bootstrap servers of a Kafka ``name``."""
+    """``location`` is a directory, or the bootstrap servers of a Kafka ``name``.
+
+    ``per_trigger`` bounds a micro-batch: files of a directory, offsets of a Kafka topic.
+    Without it a batch takes all there is.
+    """
 
     location: str
     name: str = ""
@@ -27,15 +27,15 @@ class Topic:
     def read_stream(self, spark: SparkSession) -> DataFrame:
         """Records from the earliest on; the query's checkpoint keeps the position."""
         if self.kind == "kafka":
-            return (
+            reader = (
                 spark.readStream.format("kafka")
                 .option("kafka.bootstrap.servers", self.location)
                 .option("subscribe", self.name)
                 .option("startingOffsets", "earliest")
-                .option("maxOffsetsPerTrigger", self.per_trigger or RECORDS_PER_POLL)
-                .load()
-                .select(*TOPIC_RECORD.names)
             )
+            if self.per_trigger:
+                reader = reader.option("maxOffsetsPerTrigger", self.per_trigger)
+            return reader.load().select(*TOPIC_RECORD.names)
         reader = spark.readStream.schema(TOPIC_RECORD)
         if self.per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.per_trigger)
