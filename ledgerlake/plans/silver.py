@@ -11,6 +11,7 @@ from ..operators.lookup import add_country
 from ..schemas import CATEGORIES, SILVER_CUSTOMERS
 from ..session import materialize
 
+
 def refine_customers(
     customers: DataFrame,
     countries: DataFrame,
@@ -18,18 +19,22 @@ def refine_customers(
     max_distance: int = 2,
     not_found: str = "not found",
     mask_account: int = 0,
+    counties: DataFrame | None = None,
 ) -> DataFrame:
     """Enrich and mask customers that are already unique on their id.
 
+    ``counties`` may name a cheaper source that has all their ``county`` values, such as
+    the rows of the log whose current view the customers are: more names do no harm,
+    and the deduplication then runs once only.
+
     The county matches are stored before they are joined back. They are one row per
     distinct county, and the planner then knows their size: small enough, they are
     broadcast and the customers are not shuffled at all.
     """
     if "id" in customers.columns and "_id" not in customers.columns:
         customers = customers.withColumnRenamed("id", "_id")
-    matches = materialize(
-        match_subdivisions(customers.select("county"), subdivisions, max_distance), "county-matches"
-    )
+    names = (customers if counties is None else counties).select("county")
+    matches = materialize(match_subdivisions(names, subdivisions, max_distance), "county-matches")
     refined = add_subdivision(add_country(customers, countries, not_found=not_found), matches)
     refined = refined.withColumns({"birthdate": masked(8), "current_location": masked(4)})
     if mask_account:

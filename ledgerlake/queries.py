@@ -753,6 +753,7 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
             bronze_customers.current(spark),
             adapters.countries(spark, sf),
             adapters.subdivisions(spark, sf),
+            counties=bronze_customers.rows(spark),
         ),
         mode="replace",
     )
