@@ -294,7 +294,8 @@ ORACLE: dict[str, str] = {
     )
     + " FROM m",
     "flattened_series": "SELECT 'events_' || event_type AS series, CAST(trunc(value) AS BIGINT) AS value FROM events",
-    "metric_stream_filter": """SELECT 'cluster' || user_id % 3 AS name, 'app.' || event_type AS series, value
+    "metric_stream_filter": """SELECT 'cluster' || user_id % 3 AS name, strftime(ts, '%H:%M:%S') AS time,
+               'app.' || event_type AS series, value
         FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup')""",
     "topic_round_trip": f"""WITH {_TRANSACTIONS}
         SELECT {_RAW}, seq AS "offset", _id AS message_key FROM v_transactions""",

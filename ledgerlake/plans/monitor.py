@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,10 +13,13 @@ from ..functions.scalar import lag_seconds, published_count
 from ..schemas import METRIC_RECORD, METRICS
 
 
-def tier_counts(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
+def tier_counts(
+    tables: Mapping[tuple[str, str], DataFrame], at: Column | None = None
+) -> DataFrame:
     """``tier, series, value`` for each table given under its (tier, series).
 
     A count needs no column, so a plain Parquet table is counted from its footers.
+    ``at``, such as ``current_timestamp()``, is added as ``ts``.
     """
     counts = [
         df.agg(F.count("*").alias("value")).select(
@@ -24,7 +27,8 @@ def tier_counts(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
         )
         for (tier, series), df in tables.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    together = reduce(DataFrame.unionByName, counts)
+    return together if at is None else together.withColumn("ts", at)
 
 
 def gold_counts(customers: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -91,14 +95,20 @@ def snapshot(counts: DataFrame, progress: DataFrame) -> DataFrame:
     return metric_row(tiers.unionByName(topic))
 
 
-def watched_metrics(messages: DataFrame, names: Sequence[str], value: str = "value") -> DataFrame:
-    """From metric messages (a JSON array each), the first record if its name is watched."""
+def watched_metrics(
+    messages: DataFrame, names: Sequence[str], value: str = "value", timestamp: str = "timestamp"
+) -> DataFrame:
+    """From metric messages (a JSON array each), the first record if its name is watched.
+
+    Works on a batch and on a stream of topic records.
+    """
     first = F.try_element_at(F.from_json(F.col(value).cast("string"), METRIC_RECORD), F.lit(1))
     return (
         messages.withColumn("_m", first)
         .where(F.col("_m.metric").isin(*names))
         .select(
             F.col("_m.tags.clustername").alias("name"),
+            F.date_format(timestamp, "HH:mm:ss").alias("time"),
             F.col("_m.metric").alias("series"),
             F.col("_m.value").alias("value"),
         )

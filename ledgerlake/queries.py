@@ -560,7 +560,9 @@ def metric_stream_filter(spark, sf):
         F.col("value"),
         F.struct(F.concat(F.lit("cluster"), (F.col("user_id") % 3).cast("string")).alias("clustername")).alias("tags"),
     )
-    messages = load(spark, sf, "events").select(F.to_json(F.array(record)).alias("value"))
+    messages = load(spark, sf, "events").select(
+        F.to_json(F.array(record)).alias("value"), F.col("ts").alias("timestamp")
+    )
     watched = ["app.view", "app.click", "app.purchase", "app.signup"]
     return monitor.watched_metrics(messages, watched)
 

@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from ledgerlake.plans import monitor
 from ledgerlake.sources import documents
+from ledgerlake.sources.topics import Topic
 
 
 @pytest.fixture
@@ -83,8 +85,27 @@ def test_watched_metrics(spark):
 
     df = spark.createDataFrame(
         [message(("in", 1.0), ("out", 2.0)), message(("other", 3.0)), message(), ("broken",)], "value string"
+    ).withColumn("timestamp", F.timestamp_seconds(F.lit(3661)))
+    assert rows(monitor.watched_metrics(df, ["in", "out"])) == [("c", "01:01:01", "in", 1.0)]
+
+
+def test_watched_metrics_of_a_topic_stream(spark, path):
+    record = '[{"metric":"in","value":2.5,"tags":{"clustername":"c"}}]'
+    topic = Topic(path("topic"))
+    topic.publish(
+        spark.range(4).select(
+            F.lit(None).alias("key"), F.encode(F.lit(record), "UTF-8").alias("value"),
+            F.lit(0).alias("partition"), F.col("id").alias("offset"),
+            F.timestamp_seconds("id").alias("timestamp"),
+        )
     )
-    assert rows(monitor.watched_metrics(df, ["in", "out"])) == [("c", "in", 1.0)]
+    found = monitor.watched_metrics(topic.read_stream(spark), ["in"])
+    query = (
+        found.writeStream.format("parquet").option("path", path("out"))
+        .option("checkpointLocation", path("cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert spark.read.parquet(path("out")).where("name = 'c' and value = 2.5").count() == 4
 
 
 def test_metric_row_has_all_columns(spark):
@@ -96,6 +117,8 @@ def test_metric_row_has_all_columns(spark):
 def test_counts_read_no_columns(spark, docs):
     counts = monitor.tier_counts({("bronze", "docs"): docs})
     assert rows(counts) == [("bronze", "docs", 4)]
+    stamped = monitor.tier_counts({("bronze", "docs"): docs}, F.current_timestamp())
+    assert stamped.columns == ["tier", "series", "value", "ts"]
     assert "ReadSchema: struct<>" in counts._jdf.queryExecution().executedPlan().toString()
 
 
