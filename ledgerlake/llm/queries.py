@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, entropy_mixing, golay_simhash, kd_shards, warc_index
+from . import (
+    chat_snapshots,
+    counterfactual_toxicity,
+    entropy_mixing,
+    entropy_secrets,
+    golay_simhash,
+    kd_shards,
+    pruned_graph,
+    radix_suffix,
+    warc_index,
+    window_decontamination,
+)
 from .common import load
 
 QUERIES = {}
@@ -35,6 +46,22 @@ def op3_golay_simhash(spark, sf):
     return golay_simhash.near_duplicates(load(spark, sf, "documents"))
 
 
+@query
+def op4_window_decontamination(spark, sf):
+    found = window_decontamination.contaminated(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+    return found.drop("row_key")
+
+
+@query
+def op5_entropy_secrets(spark, sf):
+    return entropy_secrets.secret_report(load(spark, sf, "documents"))
+
+
+@query
+def op6_pruned_graph(spark, sf):
+    return pruned_graph.linked_vectors(load(spark, sf, "embeddings"))
+
+
 @query
 def op7_entropy_mixing(spark, sf):
     return entropy_mixing.mixture(load(spark, sf, "documents")).select(
@@ -42,6 +69,16 @@ def op7_entropy_mixing(spark, sf):
     )
 
 
+@query
+def op8_radix_suffix(spark, sf):
+    return radix_suffix.repeated_passages(load(spark, sf, "documents")).drop("spans")
+
+
+@query
+def op9_counterfactual_toxicity(spark, sf):
+    return counterfactual_toxicity.score_documents(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
 @query
 def op10_warc_index(spark, sf):
     return warc_index.archive_round_trip(load(spark, sf, "pages"))
