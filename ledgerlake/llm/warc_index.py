@@ -103,10 +103,12 @@ def build_index(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tuple[D
 
 def write_archives(pages: DataFrame, index: DataFrame, archives: int, root: str) -> DataFrame:
     """Write the records in index order under ``root``; the index with each record's path."""
-    revisits = (
+    # written out, so that Spark sees its size: if it is small, the payloads are not shuffled for this join
+    revisits = materialize(
         index.filter("record_type = 'revisit'")
         .select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-        .distinct()
+        .distinct(),
+        "warc-revisits",
     )
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     typed = (
