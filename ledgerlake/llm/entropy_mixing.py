@@ -80,7 +80,7 @@ def multipliers(histogram: DataFrame, plan: list[dict], tolerance: float = 1e-9,
         rate = F.exp(F.least(F.col("k") * x, F.lit(math.log(MOST_COPIES))))
         words = F.col("n") * F.col("size") * rate
         sums = (
-            histogram.join(now, "index")
+            histogram.join(F.broadcast(now), "index")  # a row per source, from a list the driver holds
             .groupBy("index")
             .agg(
                 F.sum(words).alias("value"),
@@ -143,7 +143,8 @@ def solve(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
         [(i, s, p["total"], p["target"]) for i, (s, p) in enumerate(zip(names, plan))],
         "index int, name string, source_size long, target double",
     )
-    named = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    # sources and multipliers: a row per source, from lists the driver holds
+    named = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     keyed = materialize(
         named.groupBy("index", "size", "mix_key").agg(F.count("*").alias("n")), "mix-keys"
     )
@@ -158,7 +159,7 @@ def solve(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
         "index int, k double, mean double, blocks int, full boolean",
     )
     tilt = F.exp(F.least(F.col("k") * F.col("size") / F.col("mean"), F.lit(math.log(MOST_COPIES))))
-    rated = keyed.join(solved, "index").select(
+    rated = keyed.join(F.broadcast(solved), "index").select(
         "index", "size", "mix_key", "n",
         F.when(F.col("full") & (F.col("size") > 0), F.lit(float(MOST_COPIES))).otherwise(tilt).alias("rate"),
         F.pmod(F.col("mix_key"), F.col("blocks")).alias("block"),
