@@ -12,8 +12,8 @@ Pass 1 puts anchors into radix buckets by their first digit (as a 64-bit hash) a
 those whose digit occurs in two rows or more. Pass 2 fetches the bytes around the survivors
 and orders them through the full depth: runs that are equal as a whole share one answer,
 the rest is split into its windows, and equal windows are the repeated strings. A map task
-sends one anchor per digit, and one run per text, so a passage that a third of all documents
-share costs one row per task; what else shares it in the task is known on the spot.
+sends a digit's anchors of one row, and one row per run, so a passage that a third of all
+documents share costs little in each task; what else shares it in the task is known on the spot.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from .common import row_key, text_or_empty
 DEPTH = 50
 DIGIT = 16
 SPAN = DEPTH - DIGIT + 1
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+#: Windows handled at once; a longer text is gone through in slices.
+SLICE = 1 << 20
 #: Bytes of text per radix bucket and per chunk of documents.
 BUCKET_BYTES = 16 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -54,25 +56,27 @@ def digit_hashes(data: bytes) -> np.ndarray:
     return h * MIX[2]
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digit hash, first window, last window, place) of each anchor of a text."""
-    if len(data) < DEPTH:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    h = digit_hashes(data)
-    least, at, width = h, np.arange(len(h), dtype=np.int32), 1
-    while width * 2 <= SPAN:
-        first = least[:-width] <= least[width:]
-        at = np.where(first, at[:-width], at[width:])
-        least = np.where(first, least[:-width], least[width:])
-        width *= 2
-    if width < SPAN:
-        first = least[: width - SPAN] <= least[SPAN - width :]
-        at = np.where(first, at[: width - SPAN], at[SPAN - width :])
-    left = np.flatnonzero(np.diff(at, prepend=-1))
-    right = np.append(left[1:], len(at)) - 1
-    place = at[left]
-    return h[place], left, right, place
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(digit hash, entry) of each anchor of a text; ``row`` of the entries is zero."""
+    keys, entries = [np.zeros(0, np.uint64)], [np.zeros(0, FOUND)]
+    for start in range(0, len(data) - DEPTH + 1, SLICE):
+        h = digit_hashes(data[start : start + SLICE + DEPTH - 1])
+        least, at, width = h, np.arange(len(h), dtype=np.int32), 1
+        while width * 2 <= SPAN:
+            first = least[:-width] <= least[width:]
+            at = np.where(first, at[:-width], at[width:])
+            least = np.where(first, least[:-width], least[width:])
+            width *= 2
+        if width < SPAN:
+            first = least[: width - SPAN] <= least[SPAN - width :]
+            at = np.where(first, at[: width - SPAN], at[SPAN - width :])
+        left = np.flatnonzero(np.diff(at, prepend=-1))
+        right = np.append(left[1:], len(at)) - 1
+        entry = np.zeros(len(left), FOUND)
+        entry["left"], entry["back"], entry["more"] = left + start, at[left] - left, right - left
+        keys.append(h[at[left]])
+        entries.append(entry)
+    return np.concatenate(keys), np.concatenate(entries)
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -84,7 +88,7 @@ def _unblob(b: bytes, dtype) -> np.ndarray:
 
 
 def _many(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted order, first place of each key's group in it, and by place whether the group has two rows."""
+    """Sorted order, and by place in it whether it is of its key's first row, and whether the key has two rows."""
     order = np.lexsort((rows, keys))
     k, r = keys[order], rows[order]
     fresh = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
@@ -92,7 +96,9 @@ def _many(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     start = np.flatnonzero(fresh)
     several = np.zeros(len(start), bool)
     np.logical_or.at(several, group[1:], (r[1:] != r[:-1]) & ~fresh[1:])
-    return order, fresh, several[group] if len(k) else fresh
+    if not len(k):
+        return order, fresh, fresh
+    return order, r == r[start][group], several[group]
 
 
 def _dig(bits: int, chunks: int):
@@ -101,16 +107,13 @@ def _dig(bits: int, chunks: int):
     def flush(rows: list[int], found: list) -> pd.DataFrame:
         ids = np.array(rows, np.int64)
         key = np.concatenate([f[0] for f in found])
-        entry = np.zeros(len(key), FOUND)
+        entry = np.concatenate([f[1] for f in found])
         entry["row"] = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
-        entry["left"] = np.concatenate([f[1] for f in found])
-        entry["back"] = np.concatenate([f[3] - f[1] for f in found])
-        entry["more"] = np.concatenate([f[2] - f[1] for f in found])
-        order, fresh, several = _many(key, ids[entry["row"]])
+        order, leading, several = _many(key, ids[entry["row"]])
         out = []
         for chunk, own in _by(ids[entry["row"][order[several]]] % chunks, order[several]):
             out.append((1 << bits | chunk, 1, chunk, ids[entry["row"][own]], None, entry[own]))
-        sent = np.sort(order[fresh])
+        sent = np.sort(order[leading])
         for bucket, own in _by((key[sent] >> np.uint64(64 - bits)).astype(np.int64), sent):
             used, place = np.unique(entry["row"][own], return_inverse=True)
             part = entry[own].copy()
