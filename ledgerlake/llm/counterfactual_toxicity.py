@@ -197,10 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, label="toxic", rows=SAMPLE_ROWS, i
     return [], np.zeros(0), 30.0 if toxic else -30.0
 
 
-def scored(docs: DataFrame, model, id_col="doc_id", text_col="text", extra=()) -> DataFrame:
-    """doc_id and score of every row, with the columns of ``extra``."""
+def scored(docs: DataFrame, model, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id and score of every row."""
     features, weights, offset = model
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), *extra)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = chosen.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,6 +233,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, label="toxic", id_col="d
 
 def keep_clean(docs: DataFrame, labels: DataFrame, label="toxic", id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that score under the threshold, columns unchanged."""
-    model = train(docs, labels, label, id_col=id_col, text_col=text_col)
-    rows = scored(docs, model, id_col, text_col, extra=[F.struct("*").alias("row")])
-    return rows.filter(F.col("score") < THRESHOLD).select("row.*")
+    features, weights, offset = train(docs, labels, label, id_col=id_col, text_col=text_col)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        make = Vectors(features)
+        for batch in batches:
+            kept = []
+            for text in batch.column(place).to_pylist():
+                vector = make(WORDS.findall((text or "").lower()))
+                logit = offset + sum(weights[i] * x for i, x in vector.items())
+                kept.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))) < THRESHOLD)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -184,6 +184,7 @@ def contaminated(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, columns unchanged."""
     found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select("row_key").distinct()
+    found = materialize(found, "contaminated")
     key = row_key(id_col, text_col)
     kept = docs.select(F.struct("*").alias("row"), key.alias("row_key")).join(found, "row_key", "left_anti")
     return kept.select("row.*")
