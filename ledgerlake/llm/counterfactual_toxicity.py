@@ -78,7 +78,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     # about 2 * rows narrow rows, the bound given by the parameter
     return docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("text")).join(
         F.broadcast(drawn), F.col("_doc") == F.col("_id")
-    ).select("text", "y", (1 / F.col("share")).alias("weight"))
+    ).select("text", "y", F.try_divide(F.lit(1.0), F.col("share")).alias("weight"))
 
 
 def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,6 +30,7 @@ CAP = 1500
 PIVOTS = 64
 LEVELS = 4
 OVERLAP = 3
+MARGIN = 0.25
 BEAM = 24
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 16, 24, 1.2
 AUDIT_ROWS = 256
@@ -65,27 +66,41 @@ def vector_classes(rows: DataFrame, id_col: str, vector_col: str, label_col: str
     return named.drop("vec", "label"), classes
 
 
-def _nearest_pivots(overlap: int):
+def _apart(pivots: np.ndarray, cosine: float) -> np.ndarray:
+    """Pivots without those close to an earlier one: a dense group must not be cut by its own members."""
+    sims, kept = pivots @ pivots.T, []
+    for i in range(len(pivots)):
+        if all(sims[i, j] < cosine for j in kept):
+            kept.append(i)
+    return pivots[kept]
+
+
+def _nearest_pivots(overlap: int, apart: float):
     def run(batches):
         for batch in batches:
             out = []
             for shard, rows in batch.groupby("shard", sort=False):
-                pivots = _unit(rows["pivots"].iloc[0])
+                pivots = _apart(_unit(rows["pivots"].iloc[0]), apart)
                 sims = _unit(rows["vec"]) @ pivots.T
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
+                score = np.take_along_axis(sims, best, axis=1)
                 for j in range(best.shape[1]):
-                    out.append(rows[["node", "size", "vec"]].assign(shard=[f"{shard}.{p}" for p in best[:, j]]))
+                    near = score[:, j] >= score[:, 0] - MARGIN
+                    names = [f"{shard}.{p}" for p in best[near, j]]
+                    out.append(rows.loc[near, ["node", "size", "vec"]].assign(shard=names))
             if out:
                 yield pd.concat(out)[["node", "size", "vec", "shard"]]
 
     return run
 
 
-def overlapping_shards(classes: DataFrame, overlap: int) -> DataFrame:
-    """node, size, vec, shard: every vector in ``overlap`` shards per level it went through.
+def overlapping_shards(classes: DataFrame, overlap: int, cosine: float = COSINE) -> DataFrame:
+    """node, size, vec, shard: every vector in up to ``overlap`` shards per level it went through.
 
-    Pivots are at most ``PIVOTS`` vectors of the shard, chosen by hash. After ``LEVELS``
-    levels a shard may still be too large, if its vectors hardly differ.
+    Pivots are at most ``PIVOTS`` vectors of the shard, chosen by hash, and not closer to each
+    other than vectors that should link. A vector goes to its closest pivot and to the next
+    ones if they are not ``MARGIN`` further off. After ``LEVELS`` levels a shard may still be
+    too large, if its vectors hardly differ.
     """
     spread = F.concat_ws("/", "label", F.size("vec").cast("string"))
     members = classes.select("node", "size", "vec", spread.alias("shard"))
@@ -100,7 +115,7 @@ def overlapping_shards(classes: DataFrame, overlap: int) -> DataFrame:
         wanted = F.greatest(F.lit(overlap + 1), F.ceil(F.col("n") * (2 * overlap) / CAP))
         pivots = picked.filter(F.col("place") <= wanted).groupBy("shard").agg(F.collect_list("vec").alias("pivots"))
         split = large.drop("n").join(pivots, "shard").mapInPandas(
-            _nearest_pivots(overlap), "node long, size long, vec array<double>, shard string"
+            _nearest_pivots(overlap, cosine - SLACK), "node long, size long, vec array<double>, shard string"
         )
         small = members.join(counts, "shard", "left_anti").select("node", "size", "vec", "shard")
         members = materialize(small.unionByName(split), "shard-members")
@@ -267,7 +282,7 @@ def _searched(cosine: float, beam: int):
 
 def near_vectors(classes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame:
     """node, links, root per class and cell."""
-    cells = materialize(search_cells(overlapping_shards(classes, overlap)), "search-cells")
+    cells = materialize(search_cells(overlapping_shards(classes, overlap, cosine)), "search-cells")
     key = ["shard", "low", "high"]
     built = cells.groupBy(*key).applyInPandas(_adjacency, "node long, near array<long>")
     united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
