@@ -24,6 +24,8 @@ DIMENSIONS = ("source", "lang", "n_chars")
 #: the tie-breaker: the text's checksum, so that equal texts stay together, then the id's hash.
 VALUE_STEPS = 1 << 16
 TIE_SHIFTS = ((35, 18), (17, 18), (0, 17))
+#: A table with a row per node is broadcast if there are at most so many shards.
+BROADCAST_NODES = 100_000
 DIGITS = [f"g{i}" for i in range(1 + len(TIE_SHIFTS))]
 
 
@@ -56,8 +58,13 @@ def _step(fraction: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(fraction * VALUE_STEPS), F.lit(VALUE_STEPS - 1)))
 
 
-def _split(rows: DataFrame, ranges: list[float]) -> DataFrame:
+def _split(rows: DataFrame, ranges: list[float], shards: int) -> DataFrame:
     """Every node of more than one shard becomes two nodes."""
+
+    def per_node(table: DataFrame) -> DataFrame:
+        # there are never more nodes than shards
+        return F.broadcast(table) if shards <= BROADCAST_NODES else table
+
     dims = [f"d{i}" for i in range(len(ranges))]
     ends = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
     width = [(F.col(f"max_{d}") - F.col(f"min_{d}")) / F.lit(r) for d, r in zip(dims, ranges)]
@@ -80,7 +87,7 @@ def _split(rows: DataFrame, ranges: list[float]) -> DataFrame:
     value = F.coalesce(*[F.when(F.col("widest") == i, F.col(d)) for i, d in enumerate(dims)])
     place = F.when(F.col("span") > 0, (value - F.col("low")) / F.col("span")).otherwise(0.0)
     keyed = (
-        rows.join(nodes.drop("wanted"), "node", "left")
+        rows.join(per_node(nodes.drop("wanted")), "node", "left")
         .withColumn("place", place)
         .withColumn("g0", _step(F.col("place")))
     )
@@ -93,7 +100,7 @@ def _split(rows: DataFrame, ranges: list[float]) -> DataFrame:
     order = Window.partitionBy("node").orderBy("digit")
     for i, g in enumerate(DIGITS):
         chosen = [f"c{j}" for j in range(i)]
-        inside = keyed.filter("parts > 1").select("node", "size", *DIGITS[: i + 1]).join(cut, "node")
+        inside = keyed.filter("parts > 1").select("node", "size", *DIGITS[: i + 1]).join(per_node(cut), "node")
         if i:
             same = reduce(Column.__and__, [F.col(f"g{j}") == F.col(f"c{j}") for j in range(i)])
             inside = inside.filter(same)
@@ -111,7 +118,7 @@ def _split(rows: DataFrame, ranges: list[float]) -> DataFrame:
     half = F.floor(F.col("parts") / 2).cast("int")
     split = F.col("c0").isNotNull()
     return (
-        keyed.join(cut.drop("wanted"), "node", "left")
+        keyed.join(per_node(cut.drop("wanted")), "node", "left")
         .withColumn("goes_left", F.when(split, left))
         .select(
             "doc_id", "size", "text_crc32", *dims, "tie",
@@ -152,7 +159,7 @@ def kd_shards(
         "*", F.lit(1).cast("long").alias("node"), F.lit(0).alias("first"), F.lit(parts).cast("int").alias("parts")
     )
     for _ in range((parts - 1).bit_length()):
-        rows = materialize(_split(rows, ranges), "kd-level")
+        rows = materialize(_split(rows, ranges, parts), "kd-level")
     placed = rows.select("doc_id", "size", "text_crc32", F.col("first").alias("shard"))
     return numbered(placed, "shard", ["doc_id", "size", "text_crc32"], "slot")
 
