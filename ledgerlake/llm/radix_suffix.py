@@ -74,7 +74,9 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         right = np.append(left[1:], len(at)) - 1
         entry = np.zeros(len(left), FOUND)
         entry["left"], entry["back"], entry["more"] = left + start, at[left] - left, right - left
-        keys.append(h[at[left]])
+        # an anchor's hash is the least of many, so it is mixed again before its first bits make a bucket
+        lowest = h[at[left]]
+        keys.append((lowest ^ lowest >> np.uint64(32)) * MIX[0])
         entries.append(entry)
     return np.concatenate(keys), np.concatenate(entries)
 
@@ -95,7 +97,7 @@ def _many(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     group = np.cumsum(fresh) - 1
     start = np.flatnonzero(fresh)
     several = np.zeros(len(start), bool)
-    np.logical_or.at(several, group[1:], (r[1:] != r[:-1]) & ~fresh[1:])
+    several[group[1:][(r[1:] != r[:-1]) & ~fresh[1:]]] = True
     if not len(k):
         return order, fresh, fresh
     return order, r == r[start][group], several[group]
