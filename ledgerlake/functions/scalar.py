@@ -38,6 +38,12 @@ def pick_category(
     return F.element_at(names, (stable_hash(key, n_categories, salt) + 1).cast("int"))
 
 
+def padded(c: Column | str, width: int) -> Column:
+    """Zeros in front up to ``width``; a longer text stays as it is."""
+    text = col(c).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def masked(width: int) -> Column:
     """A mask of fixed width; missing inputs are masked too."""
     return F.lit("*" * width)
@@ -102,14 +108,16 @@ def published_count(max_offset: Column | str) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """Accented small Latin letters and their base letters, by Unicode decomposition."""
-    letters = [chr(code) for code in range(0xC0, 0x250) if chr(code).islower()]
+    """Small Latin letters with a decomposition, and their base letters; strokes and ligatures stay."""
+    letters = [chr(code) for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(code).islower()]
     pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in letters]
     pairs = [(c, base) for c, base in pairs if base != c and base.isascii()]
+    pairs.append(("đ", "d"))
     return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
 
 
 def fold_name(c: Column | str) -> Column:
-    """Lower case, trimmed, accents removed: the form in which names are compared."""
+    """Lower case, trimmed, accents removed, combining ones too: the form in which names are compared."""
     accented, plain = _accent_table()
-    return F.translate(F.lower(F.trim(col(c))), accented, plain)
+    letters = F.translate(F.lower(F.trim(col(c))), accented, plain)
+    return F.regexp_replace(letters, r"\p{M}", "")

@@ -34,15 +34,22 @@ def _best(code: str, points: Column) -> Column:
     return F.min(F.struct((-points).alias("rank"), F.col(code).alias("code"))).alias("best")
 
 
-def needle_index(subdivisions: DataFrame) -> DataFrame:
-    """``needle, best(rank, code)``: the best subdivision for each text that hits one."""
+def needle_index(subdivisions: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """``needle, best(rank, code)``: the best subdivision for each text that hits one.
+
+    ``lengths`` are those of the names sought; needles of other lengths can hit none.
+    """
     names = subdivisions.select(
         "code", fold_name("code").alias("code_text"), fold_name("name").alias("name")
     )
     starts = F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")
-    lengths = F.sequence(F.lit(1), F.length("name") - F.col("at") + 1)
+    longest = F.length("name") - F.col("at") + 1
+    if lengths is None:
+        sought = F.sequence(F.lit(1), longest)
+    else:
+        sought = F.filter(F.lit(sorted(lengths)).cast("array<int>"), lambda n: n <= longest)
     needles = F.explode(
-        F.transform(lengths, lambda n: F.substring(F.col("name"), F.col("at"), n))
+        F.transform(sought, lambda n: F.substring(F.col("name"), F.col("at"), n))
     ).alias("needle")
     position_points = F.greatest(
         F.lit(LEAST_POINTS), F.lit(CONTAINED_POINTS) - OFFSET_LOSS * (F.col("at") - 1)
@@ -88,8 +95,16 @@ def _one_deletion(text: Column) -> Column:
 
 
 def near_matches(names: DataFrame, subdivisions: DataFrame, max_distance: int) -> DataFrame:
-    """``name, best(rank, code)`` for each ``name, text`` within ``max_distance`` edits."""
-    left = names.select(
+    """``name, best(rank, code)`` for each ``name, text`` within ``max_distance`` edits.
+
+    An edit changes the length by one at most, so only texts of a length near that of some
+    subdivision's name are expanded at all.
+    """
+    length = F.length(fold_name("name"))
+    near = F.explode(F.sequence(length - max_distance, length + max_distance))
+    reachable = subdivisions.select(near.alias("_length")).distinct()
+    close = names.join(reachable, F.length("text") == F.col("_length"), "left_semi")
+    left = close.select(
         "name", "text", F.explode(deletions(F.col("text"), max_distance)).alias("shared")
     )
     right = subdivisions.select("code", fold_name("name").alias("full_name")).select(
@@ -118,7 +133,9 @@ def match_subdivisions(names: DataFrame, subdivisions: DataFrame, max_distance:
         .distinct(),
         "distinct-names",
     )
-    index = needle_index(subdivisions).withColumnRenamed("needle", "text")
+    # a number per distinct length
+    lengths = [r[0] for r in distinct.select(F.length("text")).distinct().collect()]
+    index = needle_index(subdivisions, lengths).withColumnRenamed("needle", "text")
     hits = distinct.join(index.hint("merge"), "text", "left").select("name", "text", "best")
     found = hits.where(F.col("best").isNotNull()).select("name", "best")
     if max_distance > 0:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def account_owners(customers: DataFrame) -> DataFrame:
     """``account_number, customer_id``; a shared account goes to the smallest id."""
@@ -29,8 +31,13 @@ def resolve_customers(df: DataFrame, owners: DataFrame, account: str) -> DataFra
 def add_country(
     df: DataFrame, countries: DataFrame, code: str = "country_code", not_found: str = "not found"
 ) -> DataFrame:
-    """Add the ``country`` name of a two-letter code, or the ``not_found`` text."""
-    names = countries.select(F.col("country_code").alias(code), "country")
+    """Add the ``country`` name of a two-letter code, or the ``not_found`` text.
+
+    Of several names for a code the smallest counts, so no customer is multiplied. The
+    reduced names are stored, so that Spark sees their size and can split a hot country.
+    """
+    reduced = countries.groupBy(F.col("country_code").alias(code)).agg(F.min("country").alias("country"))
+    names = materialize(reduced, "country-names")
     return df.join(names, code, "left").withColumn(
         "country", F.coalesce(F.col("country"), F.lit(not_found))
     )

@@ -22,18 +22,22 @@ def hash_scorer(key: str = "_id", salt: str = "") -> Scorer:
 
 
 def pandas_scorer(predict: Callable[[pd.DataFrame], pd.Series], features: Sequence[str]) -> Scorer:
-    """Score with any vectorised model; rows travel in Arrow batches."""
+    """Score with any vectorised model; rows travel in Arrow batches.
+
+    A null score says that the model could not score the row, for a null feature as a
+    rule; such a row is no fraud.
+    """
 
     @F.pandas_udf("bigint")
     def model(batch: pd.DataFrame) -> pd.Series:
-        return predict(batch).astype("int64")
+        return predict(batch).astype("Float64").round().astype("Int64")
 
     return lambda df: df.withColumn("score", model(F.struct(*features)))
 
 
 def flag_fraud(df: DataFrame, scorer: Scorer, threshold: int = FRAUD_THRESHOLD) -> DataFrame:
     """Score every row; ``fraud`` is true above the threshold."""
-    return scorer(df).withColumn("fraud", F.col("score") > threshold)
+    return scorer(df).withColumn("fraud", F.coalesce(F.col("score") > threshold, F.lit(False)))
 
 
 def fraud_counts(flagged: DataFrame) -> DataFrame:

@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
+from .schemas import CATEGORIES, METRICS
+
 
 def _hash(key: str, buckets: int, salt: str = "") -> str:
     text = f"'{salt}' || {key}" if salt else key
     return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) % {buckets}"
 
 
-_CATEGORIES = (
-    "['Entertainment', 'Shopping', 'Education', 'Investment', 'Bills', 'Transport', "
-    "'Income', 'Home', 'Transfers', 'Dining', 'Other']"
-)
+def _pad(expression: str, width: int) -> str:
+    """Zeros in front; a longer text is not cut."""
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"lpad({text}, CAST(greatest(length({text}), {width}) AS INTEGER), '0')"
+
 
-_CUSTOMERS = """
+_CATEGORIES = str(list(CATEGORIES))
+
+_CUSTOMERS = f"""
 v_customers AS (
   SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name AS name, '1970-01-01' AS birthdate,
          '(0, 0)' AS current_location, c_custkey || '@example.com' AS mail,
          'user' || c_custkey AS username, c_custkey || ' Main Street' || chr(10) || 'Town' AS address,
-         'ACC' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS account_number,
+         'ACC' || {_pad('c_custkey', 10)} AS account_number,
          'SSN' || c_custkey AS ssn, 'O+' AS blood_group, c_mktsegment AS company, 'clerk' AS job,
          'X' AS sex,
          lower(replace(n_name, '_', ' ')) || CASE WHEN n_nationkey % 2 = 1 THEN 'x' ELSE '' END AS county,
-         lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS country_code
+         {_pad('n_regionkey', 2)} AS country_code
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
-_TRANSACTIONS = """
+_TRANSACTIONS = f"""
 v_transactions AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS _id,
-         'ACC' || lpad(CAST(o_orderkey * 31 % 997 AS VARCHAR), 10, '0') AS sender_account,
+         'ACC' || {_pad('o_orderkey * 31 % 997', 10)} AS sender_account,
          CASE WHEN o_orderkey % 10 = 0 THEN 'EXT' || o_orderkey
-              ELSE 'ACC' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS receiver_account,
+              ELSE 'ACC' || {_pad('o_custkey', 10)} END AS receiver_account,
          round(o_totalprice, 2) AS amount,
          CAST(epoch(o_orderdate) AS DOUBLE) AS transaction_date,
          o_orderkey AS seq
   FROM orders)"""
 
-_COUNTRIES = """
+_COUNTRIES = f"""
 v_countries AS (
-  SELECT lpad(CAST(r_regionkey AS VARCHAR), 2, '0') AS country_code, r_name AS country
+  SELECT {_pad('r_regionkey', 2)} AS country_code, r_name AS country
   FROM region WHERE r_regionkey < (SELECT max(r_regionkey) FROM region))"""
 
 _COUNTIES = """
@@ -181,11 +186,11 @@ ORACLE: dict[str, str] = {
         FROM v_customers c LEFT JOIN v_countries k ON c.country_code = k.country_code""",
     "county_fuzzy": f"""WITH {_CUSTOMERS},{_COUNTIES}
         SELECT c._id, c.county, m.iso3166_2 FROM v_customers c LEFT JOIN matches m ON c.county = m.county""",
-    "part_name_contained": """
+    "part_name_contained": f"""
         WITH names AS (
-          SELECT lower(trim(p_name)) AS name, min(lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS code
+          SELECT lower(trim(p_name)) AS name, min({_pad('p_partkey', 12)}) AS code
           FROM part GROUP BY p_name),
-        wanted AS (SELECT DISTINCT regexp_extract(p_name, '[^ ]*$') AS county FROM part),
+        wanted AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS county FROM part),
         ranked AS (
           SELECT county, code, CASE WHEN lower(county) = name THEN 50 ELSE 0 END
                  + greatest(5, 30 - 2 * (instr(name, lower(county)) - 1)) AS points
@@ -238,7 +243,7 @@ ORACLE: dict[str, str] = {
     "customer_reload": f"""WITH {_CUSTOMERS}
         SELECT _id, CASE WHEN c_acctbal < 0 THEN 'COLLECTION' ELSE company END AS company, account_number
         FROM v_customers JOIN customer ON _id = CAST(c_custkey AS VARCHAR)""",
-    "compacted_log": _merge(f"{_source_wins('part')}, {_source_wins('quantity')}"),
+    "replayed_batches": _merge(f"{_source_wins('part')}, {_source_wins('quantity')}"),
     "table_history": """SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS date,
         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS id, count(*) AS rows
         FROM events GROUP BY 2""",
@@ -287,10 +292,8 @@ ORACLE: dict[str, str] = {
                """
     + ",\n               ".join(
         f"max(value) FILTER (WHERE metric = '{m}') AS {m}"
-        for m in (
-            "bronze_customers", "bronze_transactions", "silver_profiles", "silver_transactions",
-            "silver_customers", "gold_transactions", "gold_customers", "gold_fraud",
-        )
+        for m in METRICS
+        if not m.startswith("transactions_")
     )
     + " FROM m",
     "flattened_series": "SELECT 'events_' || event_type AS series, CAST(trunc(value) AS BIGINT) AS value FROM events",
@@ -315,4 +318,31 @@ ORACLE: dict[str, str] = {
     "medallion_customers": f"WITH {_GOLD_CUSTOMERS} SELECT * FROM g_customers",
     "medallion_transactions": f"WITH {_GOLD_TRANSACTIONS} SELECT * FROM g_after",
     "typed_customer_load": f"WITH {_CUSTOMERS} SELECT _id, name, mail, account_number, company, county FROM v_customers",
+    "pandas_scored_nulls": f"""WITH {_TRANSACTIONS},
+        scored AS (SELECT _id, CASE WHEN receiver_account NOT LIKE 'EXT%'
+                   THEN CAST(floor(amount / 1000) AS BIGINT) % 101 END AS score FROM v_transactions)
+        SELECT _id, score, coalesce(score > 85, false) AS fraud FROM scored""",
+    "customers_renamed_id": f"WITH {_SILVER_CUSTOMERS} SELECT * FROM s_customers",
+    "country_doubled_names": f"""WITH {_CUSTOMERS},{_COUNTRIES}
+        SELECT c._id, c.country_code, coalesce(k.country, 'not found') AS country
+        FROM v_customers c LEFT JOIN v_countries k ON c.country_code = k.country_code""",
+    "csv_reordered_columns": f"WITH {_CUSTOMERS} SELECT * EXCLUDE (address) FROM v_customers",
+    "csv_line_breaks": f"WITH {_CUSTOMERS} SELECT _id, address FROM v_customers",
+    "load_rejects": f"""WITH {_CUSTOMERS}
+        SELECT CASE WHEN CAST(_id AS BIGINT) % 7 = 0 THEN 'missing key' ELSE 'landed' END AS outcome,
+               count(*) AS rows FROM v_customers GROUP BY 1""",
+    "upsert_repeated_keys": f"""SELECT CAST(l_orderkey AS VARCHAR) AS _id, l_linenumber, l_shipdate, l_quantity
+        FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) = 1""",
+    "bi_table_preview": f"WITH {_GOLD_TRANSACTIONS} SELECT * FROM g_transactions ORDER BY _id LIMIT 10",
+    "tail_with_total": f"""WITH {_TRANSACTIONS}
+        SELECT _id, (SELECT count(*) FROM v_transactions) AS total FROM v_transactions ORDER BY seq DESC LIMIT 100""",
+    "stream_bronze_extra_fields": f"""WITH {_TRANSACTIONS}
+        SELECT _id, CASE WHEN amount > 150000 THEN 'USD' ELSE 'GBP' END AS currency FROM v_transactions""",
+    "profiles_tied_times": f"""WITH {_CUSTOMERS},{_TRANSACTIONS}
+        SELECT c._id, {_hash('t._id', 101, 'profile:')} AS score
+        FROM v_transactions t JOIN v_customers c ON t.receiver_account = c.account_number
+        QUALIFY row_number() OVER (PARTITION BY c._id ORDER BY seq // 64 DESC, seq % 4 DESC, seq DESC) = 1""",
+    "file_to_topic_bad_values": f"""WITH {_TRANSACTIONS}
+        SELECT CASE WHEN receiver_account LIKE 'EXT%' THEN 'bad value' ELSE 'sent' END AS outcome,
+               receiver_account LIKE 'EXT%' AS no_amount, count(*) AS rows FROM v_transactions GROUP BY ALL""",
 }

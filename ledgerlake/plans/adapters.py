@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import padded
 from ..operators.dedup import keep_latest
 
 
@@ -19,7 +20,7 @@ def epoch_seconds(c: str):
 
 
 def account(key) -> F.Column:
-    return F.concat(F.lit("ACC"), F.lpad(key.cast("string"), 10, "0"))
+    return F.concat(F.lit("ACC"), padded(key, 10))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("clerk").alias("job"),
             F.lit("X").alias("sex"),
             county.alias("county"),
-            F.lpad(F.col("n_regionkey").cast("string"), 2, "0").alias("country_code"),
+            padded("n_regionkey", 2).alias("country_code"),
         )
     )
 
@@ -74,7 +75,7 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = load(spark, sf_dir, "region")
     last = regions.agg(F.max("r_regionkey").alias("r_regionkey"))
     return regions.join(last, "r_regionkey", "left_anti").select(
-        F.lpad(F.col("r_regionkey").cast("string"), 2, "0").alias("country_code"),
+        padded("r_regionkey", 2).alias("country_code"),
         F.col("r_name").alias("country"),
     )
 

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import lag_seconds, published_count
 from ..schemas import METRIC_RECORD, METRICS
@@ -113,11 +112,3 @@ def watched_metrics(
             F.col("_m.value").alias("value"),
         )
     )
-
-
-def query_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The batches a streaming query still remembers: id, start, rows."""
-    rows = [
-        (p["name"], p["batchId"], p["timestamp"], p["numInputRows"]) for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "name string, batch_id bigint, started string, rows bigint")

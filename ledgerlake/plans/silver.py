@@ -20,6 +20,7 @@ def refine_customers(
     not_found: str = "not found",
     mask_account: int = 0,
     counties: DataFrame | None = None,
+    with_subdivision: bool = True,
 ) -> DataFrame:
     """Enrich and mask customers that are already unique on their id.
 
@@ -29,13 +30,18 @@ def refine_customers(
 
     The county matches are stored before they are joined back. They are one row per
     distinct county, and the planner then knows their size: small enough, they are
-    broadcast and the customers are not shuffled at all.
+    broadcast and the customers are not shuffled at all. A caller that does not read the
+    subdivision leaves the match out (``with_subdivision=False``); the column is null then.
     """
     if "id" in customers.columns and "_id" not in customers.columns:
         customers = customers.withColumnRenamed("id", "_id")
-    names = (customers if counties is None else counties).select("county")
-    matches = materialize(match_subdivisions(names, subdivisions, max_distance), "county-matches")
-    refined = add_subdivision(add_country(customers, countries, not_found=not_found), matches)
+    refined = add_country(customers, countries, not_found=not_found)
+    if with_subdivision:
+        names = (customers if counties is None else counties).select("county")
+        matches = materialize(match_subdivisions(names, subdivisions, max_distance), "county-matches")
+        refined = add_subdivision(refined, matches)
+    else:
+        refined = refined.withColumn("iso3166_2", F.lit(None).cast("string"))
     refined = refined.withColumns({"birthdate": masked(8), "current_location": masked(4)})
     if mask_account:
         refined = refined.withColumn("account_number", mask_tail("account_number", mask_account))

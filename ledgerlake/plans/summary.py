@@ -1,4 +1,4 @@
-"""Consolidated summaries of gold for reporting. No row shows one person."""
+"""Consolidated summaries of gold for reporting. A group may hold one customer only; give ``least`` to leave such groups out."""
 
 from __future__ import annotations
 
@@ -33,9 +33,11 @@ def by_category_and_month(transactions: DataFrame) -> DataFrame:
     return with_month(transactions).rollup("category", "month").agg(*_money())
 
 
-def by_country(customers: DataFrame) -> DataFrame:
-    return customers.groupBy("country").agg(
+def by_country(customers: DataFrame, least: int = 1) -> DataFrame:
+    """Totals per country with ``least`` customers or more."""
+    totals = customers.groupBy("country").agg(
         F.count("*").alias("customers"),
         F.sum("score").alias("total_score"),
         F.count_if(F.col("score") > 85).alias("high_scores"),
     )
+    return totals.where(F.col("customers") >= least)

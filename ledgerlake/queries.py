@@ -23,7 +23,7 @@ from .plans.profiles import latest_profiles
 from .schemas import table
 from .session import materialize, scratch_path
 from .sources import documents, files
-from .sources.tables import ChangeLog, DeadLetters, VersionedTable
+from .sources.tables import RAW, ChangeLog, DeadLetters, VersionedTable
 from .sources.topics import Topic, as_messages
 from .streaming.changes import detect_on_change
 from .streaming.flow import files_to_topic, topic_to_tables
@@ -47,11 +47,12 @@ def query(run: Query) -> Query:
 # --- silver ------------------------------------------------------------------------
 
 
-def _silver_customers(spark: SparkSession, sf: str) -> DataFrame:
+def _silver_customers(spark: SparkSession, sf: str, with_subdivision: bool = True) -> DataFrame:
     return silver.refine_customers(
         adapters.customers(spark, sf),
         adapters.countries(spark, sf),
         adapters.subdivisions(spark, sf),
+        with_subdivision=with_subdivision,
     )
 
 
@@ -109,11 +110,11 @@ def county_fuzzy(spark, sf):
 
 @query
 def part_name_contained(spark, sf):
-    """Exact and contained hits only: the last word of a part's name, sought in part names."""
+    """Exact and contained hits only: every word of a part's name, sought in part names."""
     parts = load(spark, sf, "part")
-    wanted = parts.select(F.substring_index("p_name", " ", -1).alias("county"))
+    wanted = parts.select(F.explode(F.split("p_name", " ")).alias("county"))
     names = parts.groupBy(F.col("p_name").alias("name")).agg(
-        F.min(F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("code")
+        F.min(scalar.padded("p_partkey", 12)).alias("code")
     )
     return match_subdivisions(wanted, names, max_distance=0)
 
@@ -138,8 +139,8 @@ def blank_accounts(spark, sf):
 # --- gold --------------------------------------------------------------------------
 
 
-def _gold_customers(spark, sf):
-    return gold.gold_customers(_silver_customers(spark, sf), _profiles(spark, sf))
+def _gold_customers(spark, sf, with_subdivision=True):
+    return gold.gold_customers(_silver_customers(spark, sf, with_subdivision), _profiles(spark, sf))
 
 
 def _gold_transactions(spark, sf):
@@ -181,6 +182,33 @@ def pandas_scored(spark, sf):
     return scorer(adapters.transactions(spark, sf)).select("_id", "score")
 
 
+@query
+def pandas_scored_nulls(spark, sf):
+    """Transactions to receivers outside the bank have no amount, and so no score."""
+    rows = adapters.transactions(spark, sf)
+    inside = ~F.col("receiver_account").startswith("EXT")
+    scorer = pandas_scorer(lambda batch: batch["amount"] // 1000 % 101, ["amount"])
+    flagged = flag_fraud(rows.withColumn("amount", F.when(inside, F.col("amount"))), scorer)
+    return flagged.select("_id", "score", "fraud")
+
+
+@query
+def customers_renamed_id(spark, sf):
+    """A source that calls its key ``id``."""
+    renamed = adapters.customers(spark, sf).withColumnRenamed("_id", "id")
+    return silver.refine_customers(
+        renamed, adapters.countries(spark, sf), adapters.subdivisions(spark, sf)
+    )
+
+
+@query
+def country_doubled_names(spark, sf):
+    """A dimension with two names for each code: a customer still has one row."""
+    countries = adapters.countries(spark, sf)
+    doubled = countries.unionByName(countries.withColumn("country", F.concat("country", F.lit(" (old)"))))
+    return add_country(adapters.customers(spark, sf), doubled).select("_id", "country_code", "country")
+
+
 @query
 def gold_after_fraud(spark, sf):
     return _gold_after_fraud(spark, sf)
@@ -223,7 +251,7 @@ def summary_rollup(spark, sf):
 
 @query
 def summary_country(spark, sf):
-    return summary.by_country(_gold_customers(spark, sf))
+    return summary.by_country(_gold_customers(spark, sf, with_subdivision=False))
 
 
 # --- keyed tables ------------------------------------------------------------------
@@ -291,30 +319,77 @@ def late_profiles(spark, sf):
 def customer_reload(spark, sf):
     """All customers, then a second file in which those in debt have another company."""
     log = ChangeLog(scratch_path(spark, "bronze-customers"), schemas.CUSTOMERS)
-    raw = adapters.customers(spark, sf).withColumn("address", scalar.one_line("address"))
+    dead = DeadLetters(scratch_path(spark, "dead"))
+    raw = adapters.customers(spark, sf)
     debtors = load(spark, sf, "customer").where("c_acctbal < 0").select(
         F.col("c_custkey").cast("string").alias("_id")
     )
     loads = (raw, raw.join(debtors, "_id", "left_semi").withColumn("company", F.lit("COLLECTION")))
     for batch_id, rows in enumerate(loads):
         csv = scratch_path(spark, "customers-csv")
-        files.write_csv(rows.select(*schemas.CUSTOMERS.names), csv)
-        ingest.ingest_customers(spark, csv, log, batch_id)
+        files.write_csv(_shuffled(rows), csv)
+        ingest.ingest_customers(spark, csv, log, batch_id, dead, multi_line=True)
     return log.current(spark).select("_id", "company", "account_number")
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Customer columns in another order than the schema's, with one more."""
+    return rows.select(*sorted(schemas.CUSTOMERS.names), F.lit("x").alias("extra"))
+
+
+def _customer_file(spark, sf) -> DataFrame:
+    """Customers through a file with shuffled columns and line breaks in addresses."""
+    csv = scratch_path(spark, "customers-csv")
+    files.write_csv(_shuffled(adapters.customers(spark, sf)), csv)
+    return files.read_csv_text(spark, csv, schemas.CUSTOMERS, multi_line=True)
+
+
+@query
+def csv_reordered_columns(spark, sf):
+    return _customer_file(spark, sf).drop(files.DAMAGED, "address")
+
+
+@query
+def csv_line_breaks(spark, sf):
+    return _customer_file(spark, sf).select("_id", "address")
+
+
 @query
-def compacted_log(spark, sf):
+def load_rejects(spark, sf):
+    """Customers without an id in the file: what was landed and what was set aside, and why."""
+    csv = scratch_path(spark, "customers-csv")
+    rows = adapters.customers(spark, sf)
+    known = F.col("_id").cast("bigint") % 7 != 0
+    files.write_csv(_shuffled(rows.withColumn("_id", F.when(known, F.col("_id")))), csv)
+    log = ChangeLog(scratch_path(spark, "bronze-customers"), schemas.CUSTOMERS)
+    dead = DeadLetters(scratch_path(spark, "dead"))
+    ingest.ingest_customers(spark, csv, log, 1, dead, multi_line=True)
+    landed = log.current(spark).select(F.lit("landed").alias("outcome"))
+    rejected = dead.read(spark).select(F.col("reason").alias("outcome"))
+    return landed.unionByName(rejected).groupBy("outcome").agg(F.count("*").alias("rows"))
+
+
+@query
+def replayed_batches(spark, sf):
+    """Each batch written twice, the second time in reverse: nothing changes."""
     log = ChangeLog(
         scratch_path(spark, "lines"),
         table(_id="string", part="long", quantity="double"),
     )
-    target, source = adapters.line_documents(spark, sf)
-    log.write_batch(target, 1)
-    log.write_batch(source, 2)
-    return log.compact(spark, scratch_path(spark, "lines-compacted")).rows(spark).select(
-        *log.schema.names
-    )
+    batches = dict(enumerate(adapters.line_documents(spark, sf), 1))
+    for batch_id in (1, 2, 2, 1):
+        log.write_batch(batches[batch_id], batch_id)
+    return log.current(spark)
+
+
+@query
+def upsert_repeated_keys(spark, sf):
+    """All line items in one upsert keyed by order: the latest line of each stays."""
+    lines = VersionedTable(scratch_path(spark, "lines"))
+    source = load(spark, sf, "lineitem").withColumn("_id", F.col("l_orderkey").cast("string"))
+    for _ in range(2):
+        lines.upsert(source, mode="replace", order=adapters.LINE_ORDER)
+    return lines.read(spark).select("_id", "l_linenumber", "l_shipdate", "l_quantity")
 
 
 @query
@@ -417,6 +492,16 @@ def bi_table(spark, sf):
     return spark.sql(f"SELECT _id, amount, category, transaction_date, fraud FROM {name}")
 
 
+@query
+def bi_table_preview(spark, sf):
+    """The first rows of a reporting table in a database made on demand."""
+    stored = VersionedTable(scratch_path(spark, "gold-transactions"), schemas.GOLD_TRANSACTIONS)
+    stored.upsert(_gold_transactions(spark, sf))
+    name = f"reports.gold_transactions_{uuid.uuid4().hex}"
+    files.create_bi_table(spark, name, stored.read(spark).schema, stored.location(spark))
+    return files.preview_table(spark, name, "_id")
+
+
 @query
 def relational_columns(spark, sf):
     """Rows cut to the columns a relational table has; names match loosely."""
@@ -471,7 +556,10 @@ def find_by_field(spark, sf):
 
 @query
 def find_by_id(spark, sf):
-    return documents.find_by_id(adapters.transactions(spark, sf), "42")
+    stored = scratch_path(spark, "transactions-by-id")
+    rows = adapters.transactions(spark, sf).repartitionByRange("_id").sortWithinPartitions("_id")
+    rows.write.parquet(stored)
+    return documents.find_by_id(spark.read.parquet(stored), "42")
 
 
 @query
@@ -495,15 +583,21 @@ def tail_100(spark, sf):
     return documents.tail(adapters.transactions(spark, sf, with_seq=True), "_seq").drop("_seq")
 
 
+@query
+def tail_with_total(spark, sf):
+    rows = adapters.transactions(spark, sf, with_seq=True)
+    return documents.tail_with_total(rows, "_seq").select("_id", "total")
+
+
 # --- metrics -----------------------------------------------------------------------
 
 
 def _tier_counts(spark, sf):
-    """Counts over stored silver and gold tables, as the jobs leave them."""
-    customers = materialize(_silver_customers(spark, sf), "silver-customers")
-    profiles = materialize(_profiles(spark, sf), "silver-profiles")
-    transactions = materialize(_silver_transactions(spark, sf), "silver-transactions")
-    gold_customers = materialize(gold.gold_customers(customers, profiles), "gold-customers")
+    """Each tier is counted from its own plan; nothing is written, and joins carry only keys."""
+    customers = _silver_customers(spark, sf, with_subdivision=False)
+    profiles = _profiles(spark, sf)
+    transactions = _silver_transactions(spark, sf)
+    gold_customers = gold.gold_customers(customers, profiles)
     after_fraud = merge(gold.gold_transactions(transactions), _possible_fraud(spark, sf))
     bronze_and_silver = monitor.tier_counts(
         {
@@ -515,7 +609,7 @@ def _tier_counts(spark, sf):
         }
     )
     return bronze_and_silver.unionByName(
-        monitor.gold_counts(gold_customers, materialize(after_fraud, "gold-transactions"))
+        monitor.gold_counts(gold_customers, after_fraud)
     )
 
 
@@ -598,14 +692,14 @@ def _topic(spark, sf, damaged: bool = False) -> Topic:
 class _Ingested:
     """One run of the streaming ingest over a fresh topic."""
 
-    def __init__(self, spark, sf, damaged: bool = False):
-        self.bronze = ChangeLog(scratch_path(spark, "bronze"), schemas.TRANSACTIONS)
+    def __init__(self, spark, sf, damaged: bool = False, topic: Topic | None = None):
+        self.bronze = ChangeLog(scratch_path(spark, "bronze"), schemas.TRANSACTIONS, keep_raw=True)
         self.profiles = ChangeLog(scratch_path(spark, "profiles"), schemas.PROFILES)
         self.dead = DeadLetters(scratch_path(spark, "dead"))
         owners = VersionedTable(scratch_path(spark, "account-owners"))
         owners.publish(account_owners(adapters.customers(spark, sf)))
         ingest_transactions(
-            spark, _topic(spark, sf, damaged), self.bronze, self.profiles, self.dead,
+            spark, topic or _topic(spark, sf, damaged), self.bronze, self.profiles, self.dead,
             owners.read, scratch_path(spark, "checkpoint"),
         ).awaitTermination()
 
@@ -626,6 +720,34 @@ def stream_profiles(spark, sf):
     return _Ingested(spark, sf).profiles.current(spark)
 
 
+@query
+def stream_bronze_extra_fields(spark, sf):
+    """Messages with a field that the bronze table does not know: it is read from the stored text."""
+    rows = adapters.transactions(spark, sf, with_seq=True)
+    rows = rows.withColumn("currency", F.when(F.col("amount") > 150_000, "USD").otherwise("GBP"))
+    topic = Topic(scratch_path(spark, "topic"), name="transactions")
+    topic.publish(as_messages(rows, F.col("_seq")))
+    stored = _Ingested(spark, sf, topic=topic).bronze.rows(spark)
+    return stored.select("_id", F.get_json_object(RAW, "$.currency").alias("currency"))
+
+
+@query
+def profiles_tied_times(spark, sf):
+    """Many messages share a time and lie in four partitions: partition and offset decide."""
+    rows = adapters.transactions(spark, sf, with_seq=True)
+    second = (F.col("_seq") / 64).cast("bigint")
+    messages = as_messages(rows, F.col("_seq")).join(
+        rows.select(
+            F.encode("_id", "utf-8").alias("key"),
+            (F.col("_seq") % 4).cast("int").alias("place"), F.timestamp_seconds(second).alias("time"),
+        ),
+        "key",
+    )
+    topic = Topic(scratch_path(spark, "topic"), name="transactions", by_time=True)
+    topic.publish(messages.withColumns({"partition": F.col("place"), "timestamp": F.col("time")}))
+    return _Ingested(spark, sf, topic=topic).profiles.current(spark)
+
+
 @query
 def stream_dead_letter(spark, sf):
     run = _Ingested(spark, sf, damaged=True)
@@ -678,7 +800,8 @@ class _Dropped:
 
     def __init__(self, spark, rows: DataFrame):
         dropped, self.audit_path = scratch_path(spark, "dropped"), scratch_path(spark, "audit")
-        rows.repartition(_partitions(spark)).write.options(**files.CSV_DIALECT).csv(dropped)
+        shuffled = rows.select(*sorted(rows.columns), F.lit("x").alias("extra"))
+        shuffled.repartition(_partitions(spark)).write.options(**files.CSV_DIALECT).csv(dropped)
         self.topic = Topic(scratch_path(spark, "topic"), name="transactions")
         self.dead = DeadLetters(scratch_path(spark, "dead"))
         files_to_topic(
@@ -711,6 +834,20 @@ def file_to_topic_rejects(spark, sf):
     )
 
 
+@query
+def file_to_topic_bad_values(spark, sf):
+    """Amounts that are no numbers: what is logged, what is rejected; none is sent as null."""
+    rows = adapters.transactions(spark, sf)
+    outside = F.col("receiver_account").startswith("EXT")
+    run = _Dropped(spark, rows.withColumn("amount", F.when(outside, "abc").otherwise(F.col("amount").cast("string"))))
+    sent = decode_json(run.topic.read(spark), schemas.TRANSACTIONS).select("record.*")
+    return (
+        sent.select(F.lit("sent").alias("outcome"), F.col("amount").isNull().alias("no_amount"))
+        .unionByName(run.dead.read(spark).select(F.col("reason").alias("outcome"), F.lit(True).alias("no_amount")))
+        .groupBy("outcome", "no_amount").agg(F.count("*").alias("rows"))
+    )
+
+
 @query
 def cdc_fraud(spark, sf):
     """Bronze filled in two loads, followed by detection on the changes."""
@@ -732,16 +869,16 @@ def cdc_fraud(spark, sf):
 def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
     """Customer file and transaction topic through all tiers, table by table."""
     csv = scratch_path(spark, "customers-csv")
-    raw = adapters.customers(spark, sf).withColumn("address", scalar.one_line("address"))
-    files.write_csv(raw, csv)
+    files.write_csv(_shuffled(adapters.customers(spark, sf)), csv)
+    dead = DeadLetters(scratch_path(spark, "dead-customers"))
     bronze_customers = ChangeLog(scratch_path(spark, "bronze-customers"), schemas.CUSTOMERS)
     for batch_id in (1, 2):
-        ingest.ingest_customers(spark, csv, bronze_customers, batch_id)
+        ingest.ingest_customers(spark, csv, bronze_customers, batch_id, dead, multi_line=True)
 
     owners = VersionedTable(scratch_path(spark, "account-owners"))
     owners.publish(account_owners(bronze_customers.current(spark)))
 
-    bronze = ChangeLog(scratch_path(spark, "bronze"), schemas.TRANSACTIONS)
+    bronze = ChangeLog(scratch_path(spark, "bronze"), schemas.TRANSACTIONS, keep_raw=True)
     profiles = ChangeLog(scratch_path(spark, "profiles"), schemas.PROFILES)
     ingest_transactions(
         spark, _topic(spark, sf), bronze, profiles, DeadLetters(scratch_path(spark, "dead")),
@@ -767,7 +904,8 @@ def _medallion(spark, sf) -> tuple[VersionedTable, VersionedTable]:
     gold.consolidate(
         spark, silver_customers, profiles, silver_transactions, customers_table, transactions_table
     )
-    gold.detect_fraud(spark, bronze, transactions_table)
+    # silver holds the deduplicated bronze rows, so detection need not deduplicate them again
+    gold.detect_fraud(spark, silver_transactions, transactions_table)
     return customers_table, transactions_table
 
 
@@ -791,5 +929,5 @@ def typed_customer_load(spark, sf):
         scratch_path(spark, "bronze-customers"),
         table(**dict.fromkeys(columns, "string")),
     )
-    ingest.ingest_customers_typed(spark, csv, bronze, batch_id=1)
+    ingest.ingest_customers_typed(spark, csv, bronze, 1, DeadLetters(scratch_path(spark, "dead")))
     return bronze.current(spark)

@@ -64,6 +64,9 @@ GOLD_TRANSACTIONS = table(
 )
 DEAD_LETTERS = table(reason="string", raw="string", source="string", batch_id="long")
 
+#: The order of a source: wide enough for a time, a partition and an offset in one number.
+SEQ_TYPE = "decimal(38,0)"
+
 # A topic record as the Kafka source delivers it.
 TOPIC_RECORD = table(
     key="binary", value="binary", partition="integer", offset="long", timestamp="timestamp"

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback_dirs: dict[str, str] = {}
-
-
 def build_session(app_name: str = "ledgerlake", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` overrides them.
 
@@ -29,20 +25,11 @@ def build_session(app_name: str = "ledgerlake", **conf: str) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session may do without the setting; it gets a folder of its own.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = context.applicationId
-    if app not in _fallback_dirs:
-        _fallback_dirs[app] = tempfile.mkdtemp(prefix="ledgerlake-")
-    return _fallback_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

@@ -73,3 +73,9 @@ def peek(df: DataFrame, order: str | list[str], n: int = PREVIEW_ROWS) -> DataFr
 def tail(df: DataFrame, order: str, n: int = TAIL_ROWS) -> DataFrame:
     """The last ``n`` rows by ``order``, newest first."""
     return df.orderBy(F.col(order).desc()).limit(n)
+
+
+def tail_with_total(df: DataFrame, order: str, n: int = TAIL_ROWS) -> DataFrame:
+    """The last ``n`` rows, each with the number of all rows in ``total``."""
+    total = df.agg(F.count("*").alias("total")).scalar()
+    return tail(df, order, n).withColumn("total", total)

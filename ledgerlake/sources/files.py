@@ -26,29 +26,63 @@ def as_text(schema: StructType) -> StructType:
     return StructType([StructField(f.name, StringType()) for f in schema.fields])
 
 
-def read_csv_text(
-    spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
-) -> DataFrame:
-    """Every value as text, names from the header; ``_damaged`` holds malformed rows.
+def in_header_order(names: list[str], schema: StructType) -> StructType:
+    """The columns of a header with the types of ``schema``, others as text, and ``_damaged``.
 
-    A field with nothing in it is null, a quoted empty one is the empty text.
-    Values that may contain line breaks need ``multi_line``, which reads a file in one
-    task; without it a large file is split.
+    A column of ``schema`` that the header lacks is an error.
     """
-    options = {**CSV_QUOTED, "multiLine": str(multi_line).lower(), "nullValue": "\u0000"}
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"columns missing in the header: {missing}")
+    types = {f.name: f.dataType for f in schema.fields}
+    stored = StructType([StructField(n, types.get(n, StringType())) for n in names])
+    return stored.add(DAMAGED, "string")
+
+
+def _read_by_name(spark: SparkSession, path: str, schema: StructType, options: dict) -> DataFrame:
+    """Columns found by their name in the header; files whose headers differ are an error."""
+    names = spark.read.options(**options).csv(path).columns
     return (
         spark.read.options(**options)
-        .schema(as_text(schema).add(DAMAGED, "string"))
+        .schema(in_header_order(names, schema))
+        .option("enforceSchema", "false")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", DAMAGED)
         .csv(path)
+        .select(*schema.names, DAMAGED)
     )
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Types from ``schema``, or inferred with a second pass over the files."""
-    reader = spark.read.options(**{**CSV_QUOTED, "multiLine": "false"})
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", "true").csv(path)
+def read_csv_text(
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
+) -> DataFrame:
+    """Every value as text, found by the name in the header; ``_damaged`` holds malformed rows.
+
+    A missing column is an error, one that ``schema`` lacks is left out. A field with
+    nothing in it is null, a quoted empty one is the empty text. Values that may contain
+    line breaks need ``multi_line``, which reads a file in one task; without it a large
+    file is split.
+    """
+    options = {**CSV_QUOTED, "multiLine": str(multi_line).lower(), "nullValue": "\u0000"}
+    return _read_by_name(spark, path, as_text(schema), options)
+
+
+def read_csv_typed(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | None = None,
+    multi_line: bool = False,
+    damaged: bool = False,
+) -> DataFrame:
+    """Types from ``schema``, columns found by name, or all inferred with a second pass.
+
+    With ``damaged`` malformed rows are kept in ``_damaged``.
+    """
+    options = {**CSV_QUOTED, "multiLine": str(multi_line).lower()}
+    if schema is None:
+        schema = spark.read.options(**options).option("inferSchema", "true").csv(path).schema
+    rows = _read_by_name(spark, path, schema, options)
+    return rows if damaged else rows.drop(DAMAGED)
 
 
 def csv_row(*columns: str):
@@ -93,6 +127,11 @@ def read_parquet_or_empty(
         raise
 
 
+def preview_table(spark: SparkSession, name: str, order: str, n: int = 10) -> DataFrame:
+    """The first rows of a reporting table in a stated order."""
+    return spark.sql(f"SELECT * FROM {name} ORDER BY {order} LIMIT {n}")
+
+
 def create_bi_table(spark: SparkSession, name: str, schema: StructType, location: str) -> None:
     """An external Parquet table over existing files, for reporting tools."""
     if "." in name:

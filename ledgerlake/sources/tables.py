@@ -13,17 +13,19 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.dedup import keep_latest
-from ..operators.merge import merge
-from ..schemas import DEAD_LETTERS
+from ..operators.merge import merge, split_missing_keys
+from ..schemas import DEAD_LETTERS, SEQ_TYPE
 from ..schemas import table as columns
 from .files import ddl, read_parquet_or_empty
 
-_LOG_COLUMNS = columns(_seq="long", _commit_ts="timestamp", batch_id="long")
+RAW = "_raw"
+_RAW_COLUMN = columns(_raw="string")
+_LOG_COLUMNS = columns(_seq=SEQ_TYPE, _commit_ts="timestamp", batch_id="long")
 _COMMIT_COLUMNS = columns(version="long", directory="string", committed_at="timestamp")
 
 
@@ -34,22 +36,28 @@ class ChangeLog:
     ``_seq`` is the source's own order (an offset, an event id). Batches can arrive
     out of order, so ``batch_id`` only breaks ties of ``_seq``; a source without an
     order of its own passes its batch id as ``_seq``.
+
+    ``keep_raw`` stores the text ``_raw`` of the message beside the columns read from it,
+    so that fields the schema lacks are not lost; ``rows`` returns it.
     """
 
     path: str
     schema: StructType
     key: str = "_id"
+    keep_raw: bool = False
 
     @property
     def stored_schema(self) -> StructType:
-        return StructType(self.schema.fields + _LOG_COLUMNS.fields)
+        raw = _RAW_COLUMN.fields if self.keep_raw else []
+        return StructType(self.schema.fields + raw + _LOG_COLUMNS.fields)
 
     def _with_log_columns(
         self, df: DataFrame, seq: Column, batch_id: Column, commit_ts: Column
     ) -> DataFrame:
         rows = df.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields],
-            seq.cast("bigint").alias("_seq"),
+            *([F.col(RAW)] if self.keep_raw else []),
+            seq.cast(SEQ_TYPE).alias("_seq"),
             commit_ts.cast("timestamp").alias("_commit_ts"),
             batch_id.cast("bigint").alias("batch_id"),
         )
@@ -65,7 +73,8 @@ class ChangeLog:
             F.lit(batch_id),
             F.current_timestamp() if commit_ts is None else commit_ts,
         )
-        self._overwrite_batches(rows)
+        # One directory, overwritten as it is: a replay without rows leaves none of the old ones.
+        rows.drop("batch_id").write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch_id)}")
 
     def write_batches(
         self, df: DataFrame, batch_id: Column, seq: Column, commit_ts: Column
@@ -123,16 +132,6 @@ class ChangeLog:
             .select("date", "id", "rows")
         )
 
-    def compact(self, spark: SparkSession, target_path: str) -> ChangeLog:
-        """Write the current rows to a new directory as one batch; returns that log.
-
-        The rows keep their ``_seq``, so later batches written there still compare.
-        """
-        compacted = ChangeLog(target_path, self.schema, self.key)
-        last = self.rows(spark).agg(F.max("batch_id")).first()[0]
-        compacted.write_batch(self.current(spark, with_seq=True), last or 0, seq=F.col("_seq"))
-        return compacted
-
 
 @dataclass(frozen=True)
 class VersionedTable:
@@ -227,23 +226,59 @@ class VersionedTable:
         return version
 
     def upsert(
-        self, source: DataFrame, mode: str = "update", clustered: bool = False, **options
+        self,
+        source: DataFrame,
+        mode: str = "update",
+        clustered: bool = False,
+        order: str | list[str] | None = None,
+        dead: DeadLetters | None = None,
+        batch_id: int = 0,
+        **options,
     ) -> int:
-        """Merge ``source`` (unique on the key) into the last version, or create the first.
+        """Merge ``source`` into the last version, or create the first.
 
-        Say ``clustered`` if the source comes, without a shuffle in between, from a table
-        with the same buckets.
+        Of rows that repeat a key the latest by ``order`` counts; without an order a
+        repeated key fails the job. Rows without a key go to ``dead``, or fail the job
+        if there is none. Say ``clustered`` if the source comes, without a shuffle in
+        between, from a table with the same buckets.
         """
         spark = source.sparkSession
         version, directory = self._last_commit(spark)
+        if dead:
+            source, bad = split_missing_keys(source, self.key)
+            raw = F.to_json(F.struct(*bad.columns))
+            dead.write(
+                bad.select(F.lit("missing key").alias("reason"), raw.alias("raw"), F.lit(self.path).alias("source")),
+                batch_id,
+            )
+        elif not source.where(F.col(self.key).isNull()).isEmpty():
+            # the filter reaches the scan, which then reads the key only
+            raise ValueError(f"no {self.key} in a row for {self.path}")
+        source = keep_latest(source, self.key, order) if order else self._unique(source)
         if directory is None:
-            return self._write_version(source.where(F.col(self.key).isNotNull()), 1, clustered)
+            return self._write_version(self._as_declared(source), 1, clustered)
         if self.buckets and not clustered:
             # To the target's partitioning, or the planner might shuffle the target instead.
             source = source.repartition(self.buckets, self.key)
         merged = merge(self._open(spark, directory), source, self.key, mode, **options)
         return self._write_version(merged, version + 1, clustered=True)
 
+    def _unique(self, source: DataFrame) -> DataFrame:
+        """The source, failing on a repeated key; it is grouped by the key as the merge needs it."""
+        place = F.row_number().over(Window.partitionBy(self.key).orderBy(self.key))
+        numbered = source.withColumn("_place", place)
+        return numbered.where(_required(F.col("_place") == 1, f"{self.key} repeated in a source for {self.path}")).drop("_place")
+
+    def _as_declared(self, source: DataFrame) -> DataFrame:
+        """The declared columns first, null where the source lacks one, then what else it has."""
+        if self.schema is None:
+            return source
+        declared = [
+            (F.col(f.name) if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in self.schema.fields
+        ]
+        return source.select(*declared, *[c for c in source.columns if c not in self.schema.names])
+
     def same_buckets(self, other: object) -> bool:
         return bool(self.buckets) and isinstance(other, VersionedTable) and (
             (self.buckets, self.key) == (other.buckets, other.key)
@@ -264,18 +299,17 @@ class DeadLetters:
     path: str
 
     def write(self, bad: DataFrame, batch_id: int) -> None:
-        (
-            bad.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(self.path)
-        )
+        """Replaces what the batch wrote before, also by nothing."""
+        bad.write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch_id)}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_parquet_or_empty(spark, self.path, DEAD_LETTERS)
 
 
+def _required(met: Column, message: str) -> Column:
+    return F.when(met, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 Table = ChangeLog | VersionedTable
 
 

@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.decode import encode_json
-from ..schemas import TOPIC_RECORD
+from ..functions.scalar import padded
+from ..schemas import SEQ_TYPE, TOPIC_RECORD
+
+#: Enough for any partition and any offset; with 13 digits of time they fill a decimal number.
+PARTITION_DIGITS, OFFSET_DIGITS = 6, 19
+
 
 @dataclass(frozen=True)
 class Topic:
@@ -23,6 +28,7 @@ class Topic:
     name: str = ""
     kind: str = "files"
     per_trigger: int | None = None
+    by_time: bool = False
 
     def read_stream(self, spark: SparkSession) -> DataFrame:
         """Records from the earliest on; the query's checkpoint keeps the position."""
@@ -42,12 +48,20 @@ class Topic:
         return reader.parquet(self.location).select(*TOPIC_RECORD.names)
 
     def order(self) -> Column:
-        """A number that orders all records of the topic.
+        """A number that orders all records of the topic, without ties.
 
-        Offsets of a Kafka topic only order one partition, so there it is the time at
-        which a record was appended.
+        Offsets of a Kafka topic only order one partition, so there, and with ``by_time``,
+        it is the time at which a record was appended (in milliseconds, as a broker
+        keeps it), then the partition, then the offset, as digits of one number.
         """
-        return F.unix_micros("timestamp") if self.kind == "kafka" else F.col("offset")
+        if self.kind != "kafka" and not self.by_time:
+            return F.col("offset").cast(SEQ_TYPE)
+        digits = F.concat(
+            F.unix_millis("timestamp").cast("string"),
+            padded("partition", PARTITION_DIGITS),
+            padded("offset", OFFSET_DIGITS),
+        )
+        return digits.cast(SEQ_TYPE)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All records there are now."""

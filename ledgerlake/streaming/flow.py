@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..functions.scalar import pick_category
 from ..operators.decode import decode_json, split_decoded
 from ..plans.silver import blank_accounts
 from ..schemas import TRANSACTIONS
-from ..sources.files import CSV_DIALECT, as_text
+from ..sources.files import CSV_DIALECT, as_text, in_header_order
 from ..sources.tables import ChangeLog, DeadLetters
 from ..sources.topics import Topic, as_messages
 from .ingest import kept, run
@@ -75,14 +76,23 @@ def files_to_topic(
 ) -> StreamingQuery:
     """Pick up dropped CSV files, publish their rows keyed by ``_id``, log what was sent.
 
-    ``offset`` orders the records of a file-backed topic. Rows that are malformed or
-    have no key become dead letters. Read files are deleted by Spark after their
-    batch is complete.
+    ``offset`` orders the records of a file-backed topic. Rows that are malformed, have
+    no key or a value of the wrong type become dead letters. Columns are found by the
+    header of the files that are there at the start (without any, the schema's order is
+    assumed); a file with another header stops the stream. Read files are deleted by
+    Spark after their batch is complete.
     """
-    stored = as_text(schema).add("_damaged", "string")
+    present = (
+        spark.read.options(**CSV_DIALECT)
+        .option("pathGlobFilter", file_pattern)
+        .csv(directory)
+        .columns
+    )
+    stored = in_header_order(present or schema.names, as_text(schema))
     files = (
         spark.readStream.schema(stored)
         .options(**CSV_DIALECT)
+        .option("enforceSchema", "false")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_damaged")
         .option("pathGlobFilter", file_pattern)
@@ -97,11 +107,16 @@ def files_to_topic(
         rows = batch.select(F.struct(*names).alias("record"), raw.alias("value"), "_damaged")
         with kept(rows):
             good, bad = split_decoded(rows, directory)
-            typed = good.select(
-                [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
-            )
+            casts = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+            broken = reduce(Column.__or__, [F.col(n).isNotNull() & c.isNull() for n, c in casts.items()])
+            typed = good.where(~broken).select([c.alias(n) for n, c in casts.items()])
             topic.publish(as_messages(typed, offset), batch_id)
-            dead.write(bad, batch_id)
+            wrong = good.where(broken).select(
+                F.lit("bad value").alias("reason"),
+                F.to_csv(F.struct(*names)).alias("raw"),
+                F.lit(directory).alias("source"),
+            )
+            dead.write(bad.unionByName(wrong), batch_id)
             if audit_path:
                 (
                     typed.withColumn("batch_id", F.lit(batch_id))

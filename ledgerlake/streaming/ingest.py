@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.decode import decode_json, split_decoded
 from ..operators.scoring import Scorer
 from ..plans.profiles import PROFILE_SCORER, latest_profiles
-from ..sources.tables import ChangeLog, DeadLetters
+from ..sources.tables import RAW, ChangeLog, DeadLetters
 from ..sources.topics import Topic
 
 
@@ -62,7 +62,8 @@ def ingest_transactions(
 ) -> StreamingQuery:
     """Land transactions and keep each receiver's profile up to date.
 
-    The fields taken from a message are those of the bronze table.
+    The fields taken from a message are those of the bronze table; a table with
+    ``keep_raw`` also stores the whole message.
     ``owners`` reads the account directory (``account_owners``, stored whenever
     customers are loaded). It is called per batch, so that new customers are seen, and
     a batch costs a two-column read of it rather than a deduplication of all customers.
@@ -71,7 +72,8 @@ def ingest_transactions(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        messages = batch.select("value", topic.order().alias("_seq"))
+        raw = F.col("value").cast("string").alias(RAW)
+        messages = batch.select("value", topic.order().alias("_seq"), *([raw] if bronze.keep_raw else []))
         with kept(decode_json(messages, bronze.schema)) as decoded:
             good, bad = split_decoded(decoded, topic.name or topic.location)
             bronze.write_batch(good, batch_id, seq=F.col("_seq"))

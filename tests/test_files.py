@@ -63,11 +63,30 @@ def test_later_load_wins(spark, path):
     log = ChangeLog(path("bronze"), SCHEMA)
     first = write(path("1.csv"), "_id,name,amount\n1,a,1\n2,b,2\n")
     second = write(path("2.csv"), "_id,name,amount\n2,new,9\n3,c,3\n")
-    ingest.ingest_customers(spark, first, log, 1)
-    ingest.ingest_customers_typed(spark, second, log, 2)
+    letters = DeadLetters(path("dead"))
+    ingest.ingest_customers(spark, first, log, 1, letters)
+    ingest.ingest_customers_typed(spark, second, log, 2, letters)
     assert rows(log.current(spark)) == [("1", "a", "1"), ("2", "new", "9"), ("3", "c", "3")]
 
 
+def test_columns_are_found_by_name(spark, path):
+    target = write(path("c.csv"), 'amount,other,_id,name\n1,z,7,"a\nb"\n')
+    got = files.read_csv_text(spark, target, SCHEMA, multi_line=True)
+    assert rows(got) == [("7", "a\nb", "1", None)]
+    typed = files.read_csv_typed(spark, target, table(name="string", amount="double"), multi_line=True)
+    assert rows(typed) == [("a\nb", 1.0)]
+    with pytest.raises(ValueError, match="missing"):
+        files.read_csv_text(spark, write(path("d.csv"), "_id,name\n1,a\n"), SCHEMA)
+
+
+def test_typed_load_sets_malformed_rows_aside(spark, path):
+    log, letters = ChangeLog(path("bronze"), SCHEMA), DeadLetters(path("dead"))
+    target = write(path("c.csv"), "_id,name,amount\n1,a,1\n,b,2\n3,c,3,4,5\n")
+    ingest.ingest_customers_typed(spark, target, log, 1, letters)
+    assert rows(log.current(spark)) == [("1", "a", "1")]
+    assert sorted(r.reason for r in letters.read(spark).collect()) == ["damaged", "missing key"]
+
+
 def test_missing_path_is_empty_but_other_errors_are_not(spark, path):
     assert files.read_parquet_or_empty(spark, path("none"), SCHEMA).isEmpty()
     write(path("bad"), "no parquet")

@@ -78,3 +78,10 @@ def test_no_all_pairs_join(spark):
     dim = spark.createDataFrame([("A", "York")], "code string, name string")
     plan = match_subdivisions(names, dim)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_very_long_name_costs_nothing(spark):
+    subdivisions = spark.createDataFrame([("S-1", "Kent")], "code string, name string")
+    names = spark.createDataFrame([("x" * 5000,), ("kemt",)], "county string")
+    got = {r["county"]: r["iso3166_2"] for r in match_subdivisions(names, subdivisions).collect()}
+    assert got == {"kemt": "S-1"}

@@ -122,12 +122,14 @@ def test_counts_read_no_columns(spark, docs):
     assert "ReadSchema: struct<>" in counts._jdf.queryExecution().executedPlan().toString()
 
 
-def test_query_progress(spark, path):
-    spark.range(5).write.parquet(path("in"))
-    stream = spark.readStream.schema("id bigint").parquet(path("in"))
-    query = (
-        stream.writeStream.format("noop").option("checkpointLocation", path("cp"))
-        .queryName("watched").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    assert monitor.query_progress(spark, query).agg({"rows": "sum"}).first()[0] == 5
+def test_lookup_by_id_reaches_the_scan(spark, path):
+    spark.range(50).selectExpr("cast(id as string) as _id", "id as n").write.parquet(path("by-id"))
+    found = documents.find_by_id(spark.read.parquet(path("by-id")), "42")
+    assert rows(found) == [("42", 42)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(_id,42)" in plan
+
+
+def test_tail_with_total(spark):
+    df = spark.range(20).withColumnRenamed("id", "n")
+    assert rows(documents.tail_with_total(df, "n", 2)) == [(18, 20), (19, 20)]

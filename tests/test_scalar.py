@@ -66,3 +66,13 @@ def test_scores_stay_in_range_and_differ_by_salt(spark):
 
 def test_names_are_folded(spark):
     assert one(spark, scalar.fold_name("c"), "  ÎLE-de-Frãnce ") == "ile-de-france"
+
+
+def test_padding_never_cuts(spark):
+    assert one(spark, scalar.padded("c", 10), "12345678901") == "12345678901"
+    assert one(spark, scalar.padded("c", 4), "7") == "0007"
+
+
+def test_all_accents_are_folded(spark):
+    assert one(spark, scalar.fold_name("c"), "Điện Biên") == "dien bien"
+    assert one(spark, scalar.fold_name("c"), "Café ") == "cafe"

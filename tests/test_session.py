@@ -1,14 +1,14 @@
 from types import SimpleNamespace
 
-import pytest
-
 from conftest import rows
 from ledgerlake import session
 
 
 def fake(master, configured=None):
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default=None: configured),
+        conf=SimpleNamespace(
+            get=lambda key, default=None: configured if key == "spark.checkpoint.dir" else "/warehouse"
+        ),
         sparkContext=SimpleNamespace(master=master, applicationId="app-under-test"),
     )
 
@@ -18,13 +18,8 @@ def test_the_configured_folder_is_used():
     assert session.scratch_path(fake("local[2]", "/a"), "x").startswith("/a/x-")
 
 
-def test_a_cluster_needs_the_setting():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_root(fake("spark://host:7077"))
-
-
-def test_a_local_session_gets_one_folder():
-    assert session.shared_root(fake("local[2]")) == session.shared_root(fake("local[2]"))
+def test_without_the_setting_the_warehouse_is_used():
+    assert session.shared_root(fake("spark://host:7077")) == "/warehouse/_scratch"
 
 
 def test_materialize_cuts_the_plan(spark):

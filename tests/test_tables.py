@@ -8,7 +8,7 @@ from conftest import rows
 from ledgerlake.operators.dedup import keep_latest
 from ledgerlake.operators.merge import merge
 from ledgerlake.schemas import table
-from ledgerlake.sources.tables import ChangeLog, VersionedTable, require_rows
+from ledgerlake.sources.tables import ChangeLog, DeadLetters, VersionedTable, require_rows
 
 SCHEMA = table(_id="string", v="long", w="string")
 
@@ -53,7 +53,7 @@ def test_patched_view_takes_the_latest_cell_of_each_column(spark, path):
     assert rows(log.current_patched(spark)) == [("a", 3, "y"), ("b", None, None)]
 
 
-def test_history_and_compaction(spark, path):
+def test_history(spark, path):
     log = ChangeLog(path("log"), SCHEMA)
     when = F.lit("2024-01-02 03:04:05")
     for batch in range(3):
@@ -62,11 +62,49 @@ def test_history_and_compaction(spark, path):
             batch, seq=F.col("n"), commit_ts=when,
         )
     assert rows(log.history(spark)) == [("2024-01-02 03:04:05", b, 2) for b in range(3)]
-    small = log.compact(spark, path("small"))
-    assert rows(small.current(spark)) == rows(log.current(spark))
-    assert small.rows(spark).count() == 4
-    small.write_batch(frame(spark, [("a", 9, "older", 1)]), 7, seq=F.col("n"))
-    assert ("a", 2, "x") in rows(small.current(spark))
+
+
+def test_an_empty_replay_clears_its_batch(spark, path):
+    log, letters = ChangeLog(path("log"), SCHEMA), DeadLetters(path("dead"))
+    some = frame(spark, [("a", 1, "x", 0), ("b", 2, "y", 0)])
+    log.write_batch(some, 1, seq=F.col("n"))
+    log.write_batch(some, 2, seq=F.col("n"))
+    bad = spark.createDataFrame([("damaged", "x", "s")], "reason string, raw string, source string")
+    letters.write(bad, 1)
+    log.write_batch(some.limit(0), 1, seq=F.col("n"))
+    letters.write(bad.limit(0), 1)
+    assert log.rows(spark).where("batch_id = 1").isEmpty() and log.rows(spark).count() == 2
+    assert letters.read(spark).isEmpty()
+
+
+def test_repeated_and_missing_keys_never_reach_a_version(spark, path):
+    table = VersionedTable(path("t"), SCHEMA)
+    twice = frame(spark, [("a", 1, "x", 0), ("a", 2, "y", 1)])
+    with pytest.raises(Exception, match="repeated"):
+        table.upsert(twice.drop("n"))
+    for _ in range(2):
+        table.upsert(twice, order="n", mode="replace")
+    assert [r["_id"] for r in table.read(spark).collect()] == ["a"]
+    keyless = frame(spark, [(None, 1, "x", 0), ("b", 2, "y", 1)]).drop("n")
+    with pytest.raises(Exception, match="no _id"):
+        table.upsert(keyless)
+    letters = DeadLetters(path("dead"))
+    table.upsert(keyless, dead=letters, batch_id=3)
+    assert [r["reason"] for r in letters.read(spark).collect()] == ["missing key"]
+    assert sorted(r["_id"] for r in table.read(spark).collect()) == ["a", "b"]
+
+
+def test_the_first_version_has_the_declared_columns(spark, path):
+    table = VersionedTable(path("t"), SCHEMA)
+    table.upsert(frame(spark, [("a", 1, "x", 0)]).select("_id"))
+    assert table.read(spark).columns == SCHEMA.names
+
+
+def test_the_whole_message_is_kept(spark, path):
+    log = ChangeLog(path("raw"), SCHEMA, keep_raw=True)
+    log.write_batch(frame(spark, [("a", 1, "x", 0)]).withColumn("_raw", F.lit("{...}")), 1)
+    assert [r["_raw"] for r in log.rows(spark).collect()] == ["{...}"]
+    assert log.current(spark).columns == SCHEMA.names
 
 
 def test_versions(spark, path):
