@@ -38,7 +38,7 @@ BATCH_BYTES = 8 << 20
 #: Windows handled at once; a longer text is gone through in slices.
 SLICE = 1 << 20
 #: Bytes of text per radix bucket and per chunk of documents.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 FOUND = np.dtype([("row", "<u4"), ("left", "<u4"), ("back", "u1"), ("more", "u1")])
 
