@@ -5,8 +5,8 @@ and each of its vectors goes to the ``overlap`` closest ones, again and again un
 fit. In each shard every vector's nearest and some random others are pruned robustly (a
 neighbour is left out if one already chosen is closer to it by the factor ``ALPHA``); the
 adjacency lists of all shards are united by vector. Each vector then searches its shards:
-a greedy beam from the shard's medoid, and from what it finds an expansion through all
-neighbours within range. What is in range is verified in double precision.
+a greedy beam from the shard's medoid and from its own vertex, and from what it finds an
+expansion through all neighbours within range. What is in range is verified in double precision.
 
 A pair that lies in several shards is counted in the smallest of them, and a shard returns a
 count and a root per vector, so pairs are never written out. A bounded sample of vectors is
@@ -33,6 +33,7 @@ OVERLAP = 3
 MARGIN = 0.25
 BEAM = 24
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 16, 24, 1.2
+BRIDGES = 8
 AUDIT_ROWS = 256
 LEAST_RECALL = 0.95
 
@@ -135,15 +136,23 @@ def search_cells(members: DataFrame) -> DataFrame:
     )
 
 
-def prune(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """Places of each vector's neighbours after robust pruning, with the reverse links."""
+def prune(x: np.ndarray, ids: np.ndarray, cosine: float = COSINE) -> list[np.ndarray]:
+    """Places of each vector's neighbours after robust pruning, with the reverse links.
+
+    Members of a dense group fill each other's lists, and the group may fall apart into
+    parts that do not know each other; so each vector also keeps ``BRIDGES`` links to
+    any vectors near the range, chosen at random.
+    """
     n = len(x)
     if n == 1:
         return [np.zeros(0, int)]
     sims = x @ x.T
     np.fill_diagonal(sims, -2)
     near = np.argsort(-sims, axis=1, kind="stable")[:, : min(NEAREST, n - 1)]
-    chance = np.random.default_rng(int(ids.min() % (1 << 32))).integers(0, n, (n, RANDOM))
+    random = np.random.default_rng(int(ids.min() % (1 << 32)))
+    chance = random.integers(0, n, (n, RANDOM))
+    draw = np.where(sims >= cosine - SLACK, random.random((n, n), dtype=np.float32), 2)
+    bridges = np.argpartition(draw, min(BRIDGES, n - 1), axis=1)[:, :BRIDGES]
     pool = np.concatenate([near, chance], axis=1)
     rows = np.arange(n)[:, None]
     pool = np.take_along_axis(pool, np.argsort(-sims[rows, pool], axis=1, kind="stable"), axis=1)
@@ -159,23 +168,28 @@ def prune(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
             adjacent[a].append(b)
         between = 2 - 2 * sims[pick[:, None], pool[some]]
         alive[some] &= (ALPHA * between > apart[some]) & (pool[some] != pick[:, None])
+    for a, b in zip(*np.nonzero(np.take_along_axis(draw, bridges, axis=1) < 2)):
+        adjacent[a].append(int(bridges[a, b]))
     back: list[list[int]] = [[] for _ in range(n)]
     for a, row in enumerate(adjacent):
         for b in row:
             back[b].append(a)
     out = []
     for a in range(n):
-        both = np.unique(np.array(adjacent[a] + back[a], int))
-        # hubs keep their closest links
-        out.append(both if len(both) <= 2 * DEGREE else both[np.argsort(-sims[a, both], kind="stable")[: 2 * DEGREE]])
+        own, reverse = np.unique(adjacent[a]).astype(int), np.setdiff1d(back[a], adjacent[a]).astype(int)
+        # hubs keep the closest of the links to them
+        out.append(np.append(own, reverse[np.argsort(-sims[a, reverse], kind="stable")[:DEGREE]]))
     return out
 
 
-def _adjacency(cell: pd.DataFrame) -> pd.DataFrame:
-    cell = cell.drop_duplicates("node").sort_values("node")
-    ids = cell["node"].to_numpy()
-    lists = prune(_unit(cell["vec"]), ids)
-    return pd.DataFrame({"node": ids, "near": [ids[i].tolist() for i in lists]})
+def _adjacency(cosine: float):
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates("node").sort_values("node")
+        ids = cell["node"].to_numpy()
+        lists = prune(_unit(cell["vec"]), ids, cosine)
+        return pd.DataFrame({"node": ids, "near": [ids[i].tolist() for i in lists]})
+
+    return run
 
 
 def greedy_range(x: np.ndarray, links: np.ndarray, start: int, cosine: float, beam: int) -> np.ndarray:
@@ -191,6 +205,10 @@ def greedy_range(x: np.ndarray, links: np.ndarray, start: int, cosine: float, be
     seen[:, start] = x @ x[start]
     pool = np.full((n, beam), -1)
     pool[:, 0] = start
+    # each query is a vertex of the graph itself, so it also starts there
+    own = everyone[everyone != start]
+    seen[own, own] = 1.0
+    pool[own, 1] = own
 
     def look(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Open places v for queries q; the new (query, place) pairs."""
@@ -284,7 +302,7 @@ def near_vectors(classes: DataFrame, cosine: float, overlap: int, beam: int) ->
     """node, links, root per class and cell."""
     cells = materialize(search_cells(overlapping_shards(classes, overlap, cosine)), "search-cells")
     key = ["shard", "low", "high"]
-    built = cells.groupBy(*key).applyInPandas(_adjacency, "node long, near array<long>")
+    built = cells.groupBy(*key).applyInPandas(_adjacency(cosine), "node long, near array<long>")
     united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     held = cells.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
     ready = cells.join(united, "node").join(held, "node")

@@ -78,3 +78,13 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted(tuple(r) for r in p.linked_vectors(frame(spark, rows)).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
     assert p.linked_vectors(frame(spark, [])).count() == 0
+
+
+def test_a_dense_group_stays_connected(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 1, 64)
+    rows = [(i, (middle + rng.normal(0, 0.12, 64)).tolist(), 1) for i in range(250)]
+    rows += [(1000 + i, rng.normal(0, 1, 64).tolist(), 1) for i in range(300)]
+    links, _ = brute(rows, 0.93)
+    got = {r["vec_id"]: r["n_links"] for r in p.linked_vectors(frame(spark, rows)).collect()}
+    assert sum(got.values()) >= 0.99 * sum(links.values()) > 50_000
