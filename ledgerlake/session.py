@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app_name: str = "ledgerlake", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` overrides them.
 
@@ -45,5 +48,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     broadcast by Spark's own threshold check, a large one is shuffled.
     """
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    # nothing else reads what this write shuffles, so its files go when it is complete
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
