@@ -40,6 +40,7 @@ SLICE = 1 << 20
 #: Bytes of text per radix bucket and per chunk of documents.
 BUCKET_BYTES = 8 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+RUN = np.dtype([("back", "u1"), ("size", "u1"), ("holder", "u4"), ("places", "u4")])
 FOUND = np.dtype([("row", "<u4"), ("left", "<u4"), ("back", "u1"), ("more", "u1")])
 
 
@@ -178,10 +179,11 @@ def _company(chunks: int):
 def _contexts(docs: pd.DataFrame, survivors: pd.DataFrame, bits: int) -> pd.DataFrame:
     """Pass 2, map side: the bytes of the surviving runs of a chunk's documents.
 
-    One row per distinct run goes to the bucket of its digit, with every place of it in the
-    chunk's smallest document; runs of greater documents are repeats already (kind 1).
+    Distinct runs go to the bucket of their digit, packed into one row per bucket, with every
+    place of them in the chunk's smallest document; runs of greater documents are repeats
+    already (kind 1).
     """
-    columns = ["route", "kind", "digit", "back", "run", "doc_id", "row_key", "lefts", "more"]
+    columns = ["route", "kind", "runs", "entries", "docs", "row_key", "lefts"]
     if not len(survivors) or not len(docs):
         return pd.DataFrame([], columns=columns)
     ids = np.concatenate([_unblob(i, np.int64) for i in survivors["ids"]])
@@ -204,26 +206,43 @@ def _contexts(docs: pd.DataFrame, survivors: pd.DataFrame, bits: int) -> pd.Data
                 repeats.setdefault(key, []).append((left, left + more + DEPTH))
             else:
                 holders.setdefault((doc_id, key), []).append(left)
-    out = []
+    buckets: dict[int, list] = {}
     for (run, back), holders in runs.items():
-        digit = xxhash.xxh64_intdigest(run[back : back + DIGIT])
-        route = digit >> (64 - bits)
-        digit -= 1 << 63
-        for (doc_id, key), lefts in holders.items():
-            out.append((route, 0, digit, back, run, doc_id, key, np.array(lefts, np.uint32).tobytes(), len(run) - DEPTH))
+        route = xxhash.xxh64_intdigest(run[back : back + DIGIT]) >> (64 - bits)
+        for holder, lefts in holders.items():
+            buckets.setdefault(route, []).append((run, back, holder, lefts))
+    out = []
+    for route, held in buckets.items():
+        place: dict[tuple[int, int], int] = {}
+        entry = np.array([(back, len(run), place.setdefault(h, len(place)), len(lefts)) for run, back, h, lefts in held], RUN)
+        out.append((
+            route, 0, zlib.compress(b"".join(run for run, _, _, _ in held), 1), _blob(entry),
+            _blob(np.array(list(place), np.int64)), 0,
+            _blob(np.concatenate([np.array(lefts, np.uint32) for _, _, _, lefts in held])),
+        ))
     for key, spans in repeats.items():
-        out.append((1 << bits | key % 256, 1, 0, 0, None, None, key, np.array(spans, np.uint32).tobytes(), 0))
-    frame = pd.DataFrame(out, columns=columns)
-    return frame.astype({"doc_id": "Int64"})
+        out.append((1 << bits | key % 256, 1, None, None, None, key, np.array(spans, np.uint32).tobytes()))
+    return pd.DataFrame(out, columns=columns)
+
+
+def _held(sent: pd.DataFrame):
+    """(digit, back, run, doc_id, row_key, lefts) of every run that was sent."""
+    for runs, entries, docs, lefts in zip(sent["runs"], sent["entries"], sent["docs"], sent["lefts"]):
+        data, places = zlib.decompress(runs), _unblob(lefts, np.uint32)
+        holders = _unblob(docs, np.int64).reshape(-1, 2).tolist()
+        at = of = 0
+        for back, size, holder, count in _unblob(entries, RUN).tolist():
+            run = data[at : at + size]
+            yield (xxhash.xxh64_intdigest(run[back : back + DIGIT]), back, run, *holders[holder], places[of : of + count])
+            at, of = at + size, of + count
 
 
 def _windows(group: pd.DataFrame) -> pd.DataFrame:
     """Pass 2, bucket side: spans of the windows that a document with a smaller id holds."""
     known = group[group["kind"] == 1]
     out = list(zip(known["row_key"], known["lefts"]))
-    sent = group[group["kind"] == 0].sort_values(["digit", "doc_id"], kind="stable")
     spans: dict[int, list[tuple[int, int]]] = {}
-    rows = list(zip(sent["digit"].tolist(), sent["back"].tolist(), sent["run"], sent["doc_id"].tolist(), sent["row_key"].tolist(), sent["lefts"]))
+    rows = sorted(_held(group[group["kind"] == 0]), key=lambda r: (r[0], r[3]))
     start = 0
     while start < len(rows):
         stop = start
@@ -247,7 +266,7 @@ def _windows(group: pd.DataFrame) -> pd.DataFrame:
                 hit = []
             if hit:
                 mine = spans.setdefault(key, [])
-                for left in np.frombuffer(lefts, np.uint32).tolist():
+                for left in lefts.tolist():
                     mine.extend((left + a, left + b) for a, b in _merged(hit))
         start = stop
     out += [(key, np.array(s, np.uint32).tobytes()) for key, s in spans.items()]
@@ -315,7 +334,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .cogroup(survivors.groupBy("chunk"))
         .applyInPandas(
             lambda d, s: _contexts(d, s, bits),
-            "route long, kind int, digit long, back int, run binary, doc_id long, row_key long, lefts binary, more int",
+            "route long, kind int, runs binary, entries binary, docs binary, row_key long, lefts binary",
         )
     )
     spans = materialize(
