@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,17 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Writes within remove their shuffle files when they are complete; nothing else reads these."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -48,12 +61,6 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     broadcast by Spark's own threshold check, a large one is shuffled.
     """
     path = scratch_path(df.sparkSession, purpose)
-    # nothing else reads what this write shuffles, so its files go when it is complete
-    conf = df.sparkSession.conf
-    before = conf.get(SHUFFLE_CLEANUP, None)
-    conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with shuffle_files_go(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
