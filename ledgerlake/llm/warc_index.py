@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, shuffle_files_go
 from .common import text_or_empty
 
 LEAST_SHARED = 100
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = 16 << 20
+ROUNDS = 4
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -102,7 +103,7 @@ def build_index(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tuple[D
 
 
 def write_archives(pages: DataFrame, index: DataFrame, archives: int, root: str) -> DataFrame:
-    """Write the records in index order under ``root``; the index with each record's path."""
+    """Write the records in index order under ``root``, which is new; the index with each record's path."""
     # written out, so that Spark sees its size: if it is small, the payloads are not shuffled for this join
     revisits = materialize(
         index.filter("record_type = 'revisit'")
@@ -119,15 +120,21 @@ def write_archives(pages: DataFrame, index: DataFrame, archives: int, root: str)
     payload = F.when(F.col("record_type") == "response", F.col("html")).otherwise("")
     # the writer ends each line with the record's last line feed
     record = F.concat(_head(), payload, F.lit("\r\n\r"))
-    (
-        typed.select(_archive(archives), "page_id", "digest", "url", record.alias("record"))
-        .repartition(archives, "archive")
-        .sortWithinPartitions("archive", "page_id", "digest", "url")
-        .select("archive", "record")
-        .write.partitionBy("archive")
-        .option("lineSep", "\n")
-        .text(root)
-    )
+    placed = typed.select(_archive(archives), "page_id", "digest", "url", record.alias("record"))
+    # a part of the archives at a time, so that only that part lies in shuffle files beside them
+    rounds = min(ROUNDS, archives)
+    for turn in range(rounds):
+        with shuffle_files_go(pages.sparkSession):
+            (
+                placed.filter(F.col("archive") % rounds == turn)
+                .repartition(archives, "archive")
+                .sortWithinPartitions("archive", "page_id", "digest", "url")
+                .select("archive", "record")
+                .write.mode("append")
+                .partitionBy("archive")
+                .option("lineSep", "\n")
+                .text(root)
+            )
     spark = pages.sparkSession
     files = (
         spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, archive int")
