@@ -9,16 +9,17 @@ a greedy beam from the shard's medoid and from its own vertex, and from what it
 expansion through all neighbours within range. What is in range is verified in double precision.
 
 A pair that lies in several shards is counted in the smallest of them, and a shard returns a
-count and a root per vector, so pairs are never written out. A bounded sample of vectors is
-compared with all others to audit the recall; below ``LEAST_RECALL`` the build is repeated
-with more overlap and a wider beam.
+count and a root per vector, so pairs are never written out. A sample that grows with the
+table is compared with all others to audit the recall, by link and by vector; below
+``LEAST_RECALL`` the build is repeated with more overlap and a wider beam, and after the
+third build all vectors of a label are compared in pairs of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -35,6 +36,7 @@ BEAM = 24
 NEAREST, RANDOM, DEGREE, ALPHA = 48, 16, 24, 1.2
 BRIDGES = 8
 AUDIT_ROWS = 256
+AUDIT_PART = 50
 LEAST_RECALL = 0.95
 
 
@@ -309,31 +311,85 @@ def near_vectors(classes: DataFrame, cosine: float, overlap: int, beam: int) ->
     return ready.groupBy(*key).applyInPandas(_searched(cosine, beam), "node long, links long, root long")
 
 
-def true_links(classes: DataFrame, cosine: float, rows: int = AUDIT_ROWS) -> DataFrame:
-    """node and exact number of links of at most ``rows`` classes, chosen by hash, against all classes."""
-    picked = classes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(rows).select("node", "label", "vec").collect()
-    groups: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    for name in {(r["label"], len(r["vec"])) for r in picked}:
-        of = [r for r in picked if (r["label"], len(r["vec"])) == name]
-        groups[name] = np.array([r["node"] for r in of]), _unit([r["vec"] for r in of])
+def _compared(cosine: float):
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("node")
+        ids, sizes, block = cell["node"].to_numpy(), cell["size"].to_numpy(), cell["block"].to_numpy()
+        n, cross = len(ids), cell["low"].iloc[0] != cell["high"].iloc[0]
+        x = _unit(cell["vec"])
+        close = x @ x.T >= cosine
+        close &= (block[:, None] != block) if cross else ~np.eye(n, dtype=bool)
+        root = np.arange(n)
+        a, b = np.nonzero(np.triu(close, 1))
+        while True:
+            least_root = root.copy()
+            np.minimum.at(least_root, a, root[b])
+            np.minimum.at(least_root, b, root[a])
+            least_root = least_root[least_root]
+            if (least_root == root).all():
+                break
+            root = least_root
+        return pd.DataFrame({"node": ids, "links": (close @ sizes).astype(np.int64), "root": ids[root]})
 
-    def run(batches):
-        for batch in batches:
-            for (label, width), (nodes, asked) in groups.items():
-                rows = batch[(batch["label"] == label) & (batch["vec"].str.len() == width)]
-                if len(rows):
-                    close = (_unit(rows["vec"]) @ asked.T >= cosine) & (rows["node"].to_numpy()[:, None] != nodes)
-                    yield pd.DataFrame({"node": nodes, "links": (close * rows["size"].to_numpy()[:, None]).sum(axis=0)})
+    return run
 
-    counted = classes.select("node", "label", "vec", "size").mapInPandas(run, "node long, links long")
+
+def all_near_vectors(classes: DataFrame, cosine: float) -> DataFrame:
+    """node, links, root per class and cell, without a graph: each label is compared in pairs of blocks."""
+    spread = F.concat_ws("/", "label", F.size("vec").cast("string"))
+    cells = search_cells(classes.select("node", "size", "vec", spread.alias("shard")))
+    return cells.groupBy("shard", "low", "high").applyInPandas(_compared(cosine), "node long, links long, root long")
+
+
+def _asked_links(cosine: float):
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        asked, others = cell[cell["asked"]], cell[~cell["asked"]]
+        if not len(asked) or not len(others):
+            return pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
+        nodes = asked["node"].to_numpy()
+        close = (_unit(asked["vec"]) @ _unit(others["vec"]).T >= cosine) & (nodes[:, None] != others["node"].to_numpy())
+        return pd.DataFrame({"node": nodes, "links": (close @ others["size"].to_numpy()).astype(np.int64)})
+
+    return run
+
+
+def true_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """node and exact number of links of a sample that grows with the table, compared in blocks with all.
+
+    The sample is one class in ``AUDIT_PART`` by hash; more of a table that would give fewer
+    than ``AUDIT_ROWS``.
+    """
+    part = max(1, min(AUDIT_PART, classes.count() // AUDIT_ROWS))
+    spread = F.concat_ws("/", "label", F.size("vec").cast("string"))
+    rows = classes.select("node", "size", "vec", spread.alias("shard"))
+    sample = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(part)) == 0
+
+    def blocks(of: str) -> Column:
+        return F.ceil(F.col(of) / CAP).cast("int")
+
+    counts = rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(sample).alias("m")).filter("m > 0")
+    dealt = rows.join(counts.select("shard", blocks("n").alias("n"), blocks("m").alias("m")), "shard")
+    place = F.xxhash64(F.lit(6), "node")
+    mine = dealt.filter(sample).select(
+        "node", "size", "vec", "shard", F.lit(True).alias("asked"), F.pmod(place, "m").cast("int").alias("low"),
+        F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("high"),
+    )
+    others = dealt.select(
+        "node", "size", "vec", "shard", F.lit(False).alias("asked"),
+        F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("low"), F.pmod(place, "n").cast("int").alias("high"),
+    )
+    both = mine.unionByName(others)
+    counted = both.groupBy("shard", "low", "high").applyInPandas(_asked_links(cosine), "node long, links long")
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def audit_recall(classes: DataFrame, found: DataFrame, cosine: float) -> float:
-    """Share of the sample's true links that were found; 1 if there are none."""
-    true = true_links(classes, cosine).withColumnRenamed("links", "wanted")
-    both = true.join(found, "node", "left").agg(F.sum("wanted"), F.sum(F.least("links", "wanted"))).first()
-    return 1.0 if not both[0] else (both[1] or 0) / both[0]
+    """The lesser of the sample's shares of true links that were found, of all links and as a mean over
+    the vectors that have any; 1 if there are none."""
+    true = true_links(classes, cosine).withColumnRenamed("links", "wanted").filter("wanted > 0")
+    met = F.least(F.coalesce("links", F.lit(0)), "wanted")
+    both = true.join(found, "node", "left").agg(F.sum(met) / F.sum("wanted"), F.avg(met / F.col("wanted"))).first()
+    return 1.0 if both[0] is None else min(both)
 
 
 def linked_vectors(
@@ -355,6 +411,9 @@ def linked_vectors(
         if audit_recall(classes, found, cosine) >= LEAST_RECALL:
             break
         overlap, beam = overlap + 2, beam * 2
+    else:
+        cells = materialize(all_near_vectors(classes, cosine), "all-vector-links")
+        found = cells.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(cells.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
     named_classes = (
         classes.drop("vec", "label").join(found, "node", "left")

@@ -88,3 +88,28 @@ def test_a_dense_group_stays_connected(spark):
     links, _ = brute(rows, 0.93)
     got = {r["vec_id"]: r["n_links"] for r in p.linked_vectors(frame(spark, rows)).collect()}
     assert sum(got.values()) >= 0.99 * sum(links.values()) > 50_000
+
+
+def test_builds_that_miss_links_are_replaced_by_a_full_comparison(spark, monkeypatch):
+    # the graph's search counts nothing and joins nothing
+    def nothing(cosine, beam):
+        return lambda cell: cell[["node"]].assign(links=0, root=cell["node"])
+
+    monkeypatch.setattr(p, "_searched", nothing)
+    monkeypatch.setattr(p, "CAP", 60)
+    rows = clusters(200)
+    links, root = brute(rows, 0.93)
+    got = p.linked_vectors(frame(spark, rows)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], root[i]) for i in links}
+
+
+def test_the_audit_counts_small_groups(spark):
+    # one group of 60 is found, 40 pairs are not
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.eye(64)[0] + rng.normal(0, 0.001, 64)).tolist(), 1) for i in range(60)]
+    for i in range(40):
+        v = rng.normal(0, 1, 64)
+        rows += [(100 + 2 * i, v.tolist(), 1), (101 + 2 * i, (v + 0.01).tolist(), 1)]
+    _, classes = p.vector_classes(frame(spark, rows), "vec_id", "embedding", "label")
+    found = spark.createDataFrame([(i, 59) for i in range(60)], "node long, links long")
+    assert p.audit_recall(classes, found, 0.93) < 0.95
