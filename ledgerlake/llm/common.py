@@ -22,6 +22,12 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col))
 
 
+def row_words(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of hash of a row's id and text, as two numbers; a null differs from an empty text."""
+    told = [F.col(c) for c in (id_col, text_col)]
+    return [F.xxhash64(F.lit(w), *[c.isNull() for c in told], *told) for w in (18, 19)]
+
+
 def numbered(rows: DataFrame, group: str, order: list[str], name: str, block_rows: int = 50_000) -> DataFrame:
     """Gapless numbers from 0 within each ``group``, without one task per group.
 
