@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,3 +46,25 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str, block_row
     placed = dealt.join(starts, [group, "_block"])
     number = (F.col("_start") + F.row_number().over(within) - 1).cast("long")
     return placed.withColumn(name, number).drop("_block", "_start")
+
+
+def in_order(rows: DataFrame, order: list[Column], name: str, group: str | None = None) -> DataFrame:
+    """Gapless numbers from 0 in the given order, of all rows or within each ``group``.
+
+    Rows are dealt out by ranges of (group, order), so that neither a large group nor all rows
+    meet in one task; a range goes on from the counts of the ranges before it. Rows equal in
+    the order are numbered as they lie in the table. ``group`` must not be null.
+    """
+    keys = [group] if group else []
+    told = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranges = told.repartitionByRange(*keys, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    placed = materialize(ranges, "ranges")
+    within = Window.partitionBy("_range", *keys).orderBy(*order, "_tie")
+    numbers = placed.withColumn("_within", F.row_number().over(within) - 1)
+    counts = placed.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a range or group that goes on from nothing needs no row
+    starts = counts.select("_range", *keys, F.sum("_n").over(earlier).alias("_start")).filter("_start > 0")
+    joined = numbers.join(materialize(starts, "range-starts"), ["_range", *keys], "left")
+    number = (F.coalesce("_start", F.lit(0)) + F.col("_within")).cast("long")
+    return joined.withColumn(name, number).drop("_tie", "_range", "_within", "_start")
