@@ -96,9 +96,10 @@ def measured(docs: DataFrame, text: Column, kept: list[Column]) -> DataFrame:
         "n_cut_lines": F.size(F.filter("_lines", lambda line: F.rtrim(line, F.lit(SPACES)).rlike("(\\.\\.\\.|…)$"))),
     }
     names = [c for c in cut.columns if c not in ("_text", "_words", "_lines", "_letters")]
-    return ordered.withColumn("_again", again).select(
-        *names, *[m.cast("long").alias(n) for n, m in measures.items()]
-    )
+    # a generator, as filters on the measures are then not moved into the projections below it, where
+    # the arrays would be made again for every use
+    row = F.struct(*[m.cast("long").alias(n) for n, m in measures.items()])
+    return ordered.withColumn("_again", again).select(*names, F.inline(F.array(row)))
 
 
 def broken(rule: Rule) -> Column:
