@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import keep_latest
+
 MODES = ("replace", "update", "patch")
 
 
@@ -13,6 +15,20 @@ def split_missing_keys(df: DataFrame, key: str = "_id") -> tuple[DataFrame, Data
     return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
 
 
+def one_per_key(df: DataFrame, key: str, order: str | list[str] | None, name: str = "a merge") -> DataFrame:
+    """Of rows that repeat a key the latest by ``order``; without an order a repeated key fails the job.
+
+    Either way rows are grouped by the key as a merge on it needs them, so neither the shuffle
+    nor the sort is made twice. Rows without a key are left as they are, or dropped by an order.
+    """
+    if order:
+        return keep_latest(df.where(F.col(key).isNotNull()), key, order)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    repeated = F.raise_error(F.concat(F.lit(f"{key} repeated in {name}: "), F.col(key).cast("string"))).cast("boolean")
+    only = F.when(F.col("_place") == 1, F.lit(True)).when(F.col(key).isNull(), F.lit(True)).otherwise(repeated)
+    return df.withColumn("_place", place).where(only).drop("_place")
+
+
 def merge(
     target: DataFrame,
     source: DataFrame,
@@ -20,8 +36,15 @@ def merge(
     mode: str = "update",
     newest_by: str | None = None,
     flags_to_keep: tuple[str, ...] = (),
+    order: str | list[str] | None = None,
+    target_order: str | list[str] | None = None,
+    unique: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The target's rows after the merge. Both sides must be unique on ``key``.
+    """The target's rows after the merge, one per key.
+
+    Of rows that repeat a key the latest by ``order`` (in the target ``target_order``) counts;
+    without an order a repeated key fails the job. ``unique`` names sides ("target", "source")
+    that are known to have none and are not looked at.
 
     * ``replace``: a matched row becomes the source row; columns the source lacks
       become null (insert-or-replace of whole documents).
@@ -39,6 +62,10 @@ def merge(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     source = source.where(F.col(key).isNotNull())
+    if "source" not in unique:
+        source = one_per_key(source, key, order, "a source")
+    if "target" not in unique:
+        target = one_per_key(target, key, target_order, "a target")
     t = target.select([F.col(c).alias(f"t_{c}") for c in target.columns])
     s = source.select([F.col(c).alias(f"s_{c}") for c in source.columns])
     joined = t.join(s, F.col(f"t_{key}") == F.col(f"s_{key}"), "full_outer")

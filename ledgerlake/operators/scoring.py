@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_score
@@ -35,6 +36,38 @@ def pandas_scorer(predict: Callable[[pd.DataFrame], pd.Series], features: Sequen
     return lambda df: df.withColumn("score", model(F.struct(*features)))
 
 
+#: A model file is sent to every executor, so it may not be larger.
+MODEL_BYTES = 256 << 20
+
+
+def model_scorer(
+    spark: SparkSession,
+    path: str,
+    load: Callable[[bytes], Any],
+    predict: Callable[[Any, pd.DataFrame], pd.Series],
+    features: Sequence[str],
+    max_bytes: int = MODEL_BYTES,
+) -> Scorer:
+    """Score with a model kept in a file, wherever Spark can read.
+
+    ``load`` makes the model from the file's bytes once in each task, not once in each batch;
+    ``predict`` scores a batch of ``features``. Null scores as in ``pandas_scorer``.
+    """
+    stored = spark.read.format("binaryFile").load(path)
+    sizes = [r["length"] for r in stored.select("length").take(2)]
+    if len(sizes) != 1 or sizes[0] > max_bytes:
+        raise ValueError(f"{path} must be one file of at most {max_bytes} bytes")
+    held = spark.sparkContext.broadcast(bytes(stored.first()["content"]))
+
+    @F.pandas_udf("bigint")
+    def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        ready = load(held.value)
+        for batch in batches:
+            yield predict(ready, batch).astype("Float64").round().astype("Int64")
+
+    return lambda df: df.withColumn("score", model(F.struct(*features)))
+
+
 def flag_fraud(df: DataFrame, scorer: Scorer, threshold: int = FRAUD_THRESHOLD) -> DataFrame:
     """Score every row; ``fraud`` is true above the threshold."""
     return scorer(df).withColumn("fraud", F.coalesce(F.col("score") > threshold, F.lit(False)))

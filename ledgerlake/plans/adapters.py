@@ -54,10 +54,15 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
-    """Raw transactions; one receiver in ten is no customer. ``_seq`` is their order."""
+def transactions(
+    spark: SparkSession, sf_dir: str, with_seq: bool = False, orders: DataFrame | None = None
+) -> DataFrame:
+    """Raw transactions; one receiver in ten is no customer. ``_seq`` is their order.
+
+    ``orders`` may be some rows of the table of that name.
+    """
     key = F.col("o_orderkey")
-    rows = load(spark, sf_dir, "orders").select(
+    rows = (load(spark, sf_dir, "orders") if orders is None else orders).select(
         key.cast("string").alias("_id"),
         account(key * 31 % 997).alias("sender_account"),
         F.when(key % 10 == 0, F.concat(F.lit("EXT"), key.cast("string")))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_percentile
+from ..operators.dedup import keep_latest
 from ..operators.scoring import FRAUD_THRESHOLD, Scorer, flag_fraud, hash_scorer
 from ..schemas import ACCOUNT_COLUMNS, GOLD_CUSTOMER_COLUMNS
 from ..session import materialize
 from ..sources.documents import query
-from ..sources.tables import Table, VersionedTable, require_rows
+from ..sources.tables import ORDER, ChangeLog, Table, VersionedTable, require_rows
 
 FRAUD_SCORER = hash_scorer(salt="fraud:")
 
@@ -97,5 +98,45 @@ def detect_fraud(
     return counts.get["fraud"], counts.get["valid"]
 
 
+def log_fraud(
+    spark: SparkSession,
+    bronze: ChangeLog,
+    flags: ChangeLog,
+    batch_id: int,
+    since: int | None = None,
+    scorer: Scorer = FRAUD_SCORER,
+    threshold: int = FRAUD_THRESHOLD,
+) -> None:
+    """Write what detection finds in the batches after ``since`` as rows of their own, and nothing else.
+
+    ``flags`` has a row per scored transaction whose flag is set, or was set and is no longer;
+    gold stays as it is, so a run costs what the new batches cost.
+    """
+    rows = bronze.rows(spark)
+    rows = rows if since is None else rows.where(F.col("batch_id") > since)
+    latest = keep_latest(rows, bronze.key, ORDER)
+    flagged = flag_fraud(latest, scorer, threshold).select("_id", "fraud", "_seq")
+    known = flags.view(spark).select("_id", F.col("fraud").alias("was"))
+    changed = flagged.join(known, "_id", "left").where(F.col("fraud") != F.coalesce("was", F.lit(False)))
+    # stored first: the log that is written is also read here
+    flags.write_batch(materialize(changed, "changed-flags"), batch_id, seq=F.col("_seq"))
+
+
+def with_flags(transactions: DataFrame, flags: ChangeLog) -> DataFrame:
+    """Gold transactions with the flags that detection has logged, joined when they are read."""
+    known = flags.view(transactions.sparkSession).select("_id", F.col("fraud").alias("_flag"))
+    flag = F.coalesce("_flag", F.lit(False)).alias("fraud")
+    rest = [c for c in transactions.columns if c != "fraud"]
+    return transactions.join(known, "_id", "left").select(*rest, flag)
+
+
+def write_gold(spark: SparkSession, customers: ChangeLog, profiles: ChangeLog, transactions: ChangeLog, path: str) -> None:
+    """Consolidate silver into plain Parquet under ``path``, without flags. Stops before any write if a table is empty."""
+    require_rows(spark, profiles, customers, transactions)
+    people = gold_customers(customers.current(spark), profiles.current(spark))
+    people.write.mode("overwrite").parquet(f"{path}/customers")
+    gold_transactions(transactions.current(spark)).write.mode("overwrite").parquet(f"{path}/transactions")
+
+
 def fraud_view(gold: DataFrame) -> DataFrame:
     return query(gold, "fraud = true")

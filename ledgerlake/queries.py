@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +19,7 @@ from .operators.scoring import flag_fraud, fraud_counts, pandas_scorer
 from .plans import adapters, gold, ingest, monitor, silver, summary
 from .plans.adapters import load
 from .plans.profiles import latest_profiles
+from .registry import query
 from .schemas import table
 from .session import materialize, scratch_path
 from .sources import documents, files
@@ -29,21 +29,6 @@ from .streaming.changes import detect_on_change
 from .streaming.flow import files_to_topic, topic_to_tables
 from .streaming.ingest import ingest_transactions
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(run: Query) -> Query:
-    """Register a query under its function's name."""
-
-    def with_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return run(spark, sf_dir)
-
-    QUERIES[run.__name__] = with_settings
-    return with_settings
-
-
 # --- silver ------------------------------------------------------------------------
 
 
@@ -556,10 +541,8 @@ def find_by_field(spark, sf):
 
 @query
 def find_by_id(spark, sf):
-    stored = scratch_path(spark, "transactions-by-id")
-    rows = adapters.transactions(spark, sf).repartitionByRange("_id").sortWithinPartitions("_id")
-    rows.write.parquet(stored)
-    return documents.find_by_id(spark.read.parquet(stored), "42")
+    found = documents.find_by_key(load(spark, sf, "orders"), "o_orderkey", 42)
+    return adapters.transactions(spark, sf, orders=found)
 
 
 @query

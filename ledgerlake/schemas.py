@@ -64,6 +64,9 @@ GOLD_TRANSACTIONS = table(
 )
 DEAD_LETTERS = table(reason="string", raw="string", source="string", batch_id="long")
 
+#: A streaming query's report on one batch, as it gave it.
+PROGRESS = table(query="string", run_id="string", batch_id="long", progress="string")
+
 #: The order of a source: wide enough for a time, a partition and an offset in one number.
 SEQ_TYPE = "decimal(38,0)"
 

@@ -21,6 +21,30 @@ def find_by_id(df: DataFrame, value) -> DataFrame:
     return df.where(F.col("_id") == F.lit(value))
 
 
+def find_by_key(df: DataFrame, key: str, *values) -> DataFrame:
+    """Rows whose ``key`` is one of ``values``, compared as stored, so that the scan can leave out row groups."""
+    return df.where(F.col(key).isin(*values))
+
+
+def split_documents(df: DataFrame, value: str, name: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """Rows with their JSON text as a document of any shape in ``name``, and rows whose text is none.
+
+    A null text is no document. The documents can be stored and read as Parquet.
+    """
+    parsed = df.withColumn(name, F.try_parse_json(F.col(value)))
+    return parsed.where(F.col(name).isNotNull()).drop(value), df.where(F.try_parse_json(F.col(value)).isNull())
+
+
+def at(doc: str, path: str, kind: str) -> Column:
+    """What a document holds at a path such as ``$.user.id``, as ``kind``; null if it is not there or no ``kind``."""
+    return F.try_variant_get(F.col(doc), path, kind)
+
+
+def fields(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """The number of documents and the one schema that covers them all, found in one aggregate."""
+    return df.agg(F.count(doc).alias("documents"), F.schema_of_variant_agg(doc).alias("shape"))
+
+
 _COMPARE = {
     "$eq": lambda c, v: c == v,
     "$ne": lambda c, v: c != v,

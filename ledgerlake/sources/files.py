@@ -159,3 +159,26 @@ def matching_columns(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list
     have = {plain(c): c for c in df.columns}
     found = [F.col(have[plain(c)]).alias(c) for c in columns if plain(c) in have]
     return df.select(*found), [c for c in columns if plain(c) not in have]
+
+
+#: Rows of a row group of a keyed table, about; a lookup by key reads one.
+GROUP_BYTES = 4 << 20
+
+
+def write_keyed(
+    df: DataFrame, path: str, key: str, expected_keys: int | None = None, group_bytes: int = GROUP_BYTES, mode: str = "append"
+) -> None:
+    """Parquet made for lookups by ``key``: files sorted by it, a Bloom filter in each row group.
+
+    Rows are dealt out by ranges of the key, so that a key lies in one file, and in one or two
+    of its row groups by their bounds; the filter spares reading these for a key that is not
+    there. ``expected_keys`` sizes it, by the number of rows of a group unless given.
+    """
+    writer = (
+        df.repartitionByRange(key).sortWithinPartitions(key).write.mode(mode)
+        .option("parquet.block.size", group_bytes)
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+    )
+    if expected_keys:
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", expected_keys)
+    writer.parquet(path)

@@ -13,17 +13,21 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.changes import change_feed
 from ..operators.dedup import keep_latest
-from ..operators.merge import merge, split_missing_keys
+from ..operators.merge import merge, one_per_key, split_missing_keys
 from ..schemas import DEAD_LETTERS, SEQ_TYPE
 from ..schemas import table as columns
+from ..session import materialize
 from .files import ddl, read_parquet_or_empty
 
 RAW = "_raw"
+#: The order of a log's rows under a key.
+ORDER = ("_seq", "batch_id")
 _RAW_COLUMN = columns(_raw="string")
 _LOG_COLUMNS = columns(_seq=SEQ_TYPE, _commit_ts="timestamp", batch_id="long")
 _COMMIT_COLUMNS = columns(version="long", directory="string", committed_at="timestamp")
@@ -105,6 +109,45 @@ class ChangeLog:
         latest = keep_latest(self.rows(spark), self.key, ["_seq", "batch_id"])
         return latest.select(*self.schema.names, *(["_seq"] if with_seq else []))
 
+    def view(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """The latest whole row per key with its ``_seq`` and ``batch_id``; of the batches up to ``upto``.
+
+        Batches are partitions, so later ones are not read.
+        """
+        rows = self.rows(spark)
+        rows = rows if upto is None else rows.where(F.col("batch_id") <= upto)
+        return keep_latest(rows, self.key, ORDER).select(*self.schema.names, *ORDER)
+
+    def refreshed(self, spark: SparkSession, stored: DataFrame, since: int) -> DataFrame:
+        """``view`` again, from a stored one of the batches up to ``since`` and the later batches alone.
+
+        Only the keys that the new batches touch are deduplicated; the others stay where they
+        are, and while the touched keys are few the stored rows are not shuffled.
+        """
+        new = self.rows(spark).where(F.col("batch_id") > since).select(*self.schema.names, *ORDER)
+        touched = materialize(new.select(self.key).distinct(), "touched-keys")
+        again = stored.join(touched, self.key, "left_semi").unionByName(new)
+        return stored.join(touched, self.key, "left_anti").unionByName(keep_latest(again, self.key, ORDER))
+
+    def changes(self, spark: SparkSession, since: int | None = None) -> DataFrame:
+        """The changes (``change_feed``) that the log holds; those of the batches after ``since``.
+
+        Of a later batch rows that are older than what was there change nothing and are left out.
+        """
+        rows = self.rows(spark)
+        if since is None:
+            return change_feed(rows, self.key, ORDER, self.schema.names)
+        new = rows.where(F.col("batch_id") > since)
+        touched = materialize(new.select(self.key).distinct(), "touched-keys")
+        earlier = rows.where(F.col("batch_id") <= since).join(touched, self.key, "left_semi")
+        known = materialize(keep_latest(earlier, self.key, ORDER), "known-rows")
+        at = known.select(F.col(self.key).alias("_known"), F.struct(*ORDER).alias("_at"))
+        newer = new.join(at, F.col(self.key) == F.col("_known"), "left").where(
+            F.col("_at").isNull() | (F.struct(*ORDER) > F.col("_at"))
+        )
+        both = known.unionByName(newer.select(*known.columns))
+        return change_feed(both, self.key, ORDER, self.schema.names).where(F.col("batch_id") > since)
+
     def current_patched(self, spark: SparkSession) -> DataFrame:
         """Per key the latest non-null value of every column.
 
@@ -254,21 +297,17 @@ class VersionedTable:
         elif not source.where(F.col(self.key).isNull()).isEmpty():
             # the filter reaches the scan, which then reads the key only
             raise ValueError(f"no {self.key} in a row for {self.path}")
-        source = keep_latest(source, self.key, order) if order else self._unique(source)
+        source = one_per_key(source, self.key, order, f"a source for {self.path}")
         if directory is None:
             return self._write_version(self._as_declared(source), 1, clustered)
         if self.buckets and not clustered:
             # To the target's partitioning, or the planner might shuffle the target instead.
             source = source.repartition(self.buckets, self.key)
-        merged = merge(self._open(spark, directory), source, self.key, mode, **options)
+        merged = merge(
+            self._open(spark, directory), source, self.key, mode, unique=("target", "source"), **options
+        )
         return self._write_version(merged, version + 1, clustered=True)
 
-    def _unique(self, source: DataFrame) -> DataFrame:
-        """The source, failing on a repeated key; it is grouped by the key as the merge needs it."""
-        place = F.row_number().over(Window.partitionBy(self.key).orderBy(self.key))
-        numbered = source.withColumn("_place", place)
-        return numbered.where(_required(F.col("_place") == 1, f"{self.key} repeated in a source for {self.path}")).drop("_place")
-
     def _as_declared(self, source: DataFrame) -> DataFrame:
         """The declared columns first, null where the source lacks one, then what else it has."""
         if self.schema is None:
@@ -306,10 +345,6 @@ class DeadLetters:
         return read_parquet_or_empty(spark, self.path, DEAD_LETTERS)
 
 
-def _required(met: Column, message: str) -> Column:
-    return F.when(met, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
-
-
 Table = ChangeLog | VersionedTable
 
 

@@ -14,6 +14,8 @@ from ..operators.scoring import Scorer
 from ..plans.profiles import PROFILE_SCORER, latest_profiles
 from ..sources.tables import RAW, ChangeLog, DeadLetters
 from ..sources.topics import Topic
+from .progress import observed
+from .windows import taken_once
 
 
 def run(
@@ -59,6 +61,8 @@ def ingest_transactions(
     checkpoint: str,
     scorer: Scorer = PROFILE_SCORER,
     every: str | None = None,
+    once_within: str | None = None,
+    name: str = "ingest_transactions",
 ) -> StreamingQuery:
     """Land transactions and keep each receiver's profile up to date.
 
@@ -69,6 +73,8 @@ def ingest_transactions(
     a batch costs a two-column read of it rather than a deduplication of all customers.
     All three writes replace their own batch; the order of profiles is that of
     the topic, so late batches cannot replace newer profiles.
+    With ``once_within`` records sent again within that time are dropped before they are
+    written. Each batch's progress tells the last offset taken.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -81,4 +87,7 @@ def ingest_transactions(
             latest = latest_profiles(good, owners(batch.sparkSession), scorer)
             profiles.write_batch(latest, batch_id, seq=F.col("_seq"))
 
-    return run(topic.read_stream(spark), handle, checkpoint, "ingest_transactions", every)
+    records = observed(topic.read_stream(spark))
+    if once_within:
+        records = taken_once(records, once_within)
+    return run(records, handle, checkpoint, name, every)
