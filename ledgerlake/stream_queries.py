@@ -126,7 +126,7 @@ SQL["stream_user_sessions"] = """
 WITH e AS (
     SELECT user_id, event_type, epoch_us(ts) AS us, max(epoch_us(ts)) OVER () AS hi FROM events
 ), marked AS (
-    SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) >= 21600000000, true) AS opens FROM e
+    SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 21600000000, true) AS opens FROM e
 ), numbered AS (
     SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS session FROM marked
 )

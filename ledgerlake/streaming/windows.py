@@ -34,7 +34,7 @@ def sessions(
 ) -> DataFrame:
     """``window_start, window_end``, the keys and the measures of each session.
 
-    A session of a key goes on while rows follow one another by less than ``gap``; it ends a
+    A session of a key goes on while rows follow one another within ``gap``; it ends a
     gap after its last row. State is kept for open sessions only, as in ``windowed``.
     """
     session = F.session_window(time, gap).alias("window")
