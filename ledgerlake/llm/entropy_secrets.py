@@ -2,10 +2,10 @@
 
 Everything is a column expression over one row, so the scan is one pass without a shuffle.
 Positions come from the pieces between the matches of a pattern. Candidate strings (long
-runs of token characters) are walked once: a window of fixed width slides over them, each
-step changes the counts of the character that leaves and of the one that enters, and with
-them the window's sum of ``n log2 n``. The hull of the windows whose entropy passes the
-threshold of the candidate's character class is a finding, unless the allow-list knows it.
+runs of token characters) are walked once, in blocks: a window of fixed width slides over
+them, each step changes the counts of the character that leaves and of the one that enters,
+and with them the window's sum of ``n log2 n``. The hull of the windows whose entropy passes
+the threshold of the candidate's character class is a finding, unless the allow-list knows it.
 """
 
 from __future__ import annotations
@@ -28,20 +28,27 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 #: Character classes in the order they are tried, with the least entropy in bits of a secret's
-#: window; a class without one (numbers, plain words and paths) holds no secrets.
+#: window. Between prose and random strings: the most that a long word or path of the test
+#: corpus reaches is 3.59 (letters), and 95 % of random strings of 32 characters reach 2.88
+#: (digits), 3.28 (hex) and 3.61 (letters).
 CLASSES = (
-    ("digits", r"^[0-9]+$", None),
+    ("digits", r"^[0-9]+$", 2.75),
     ("hex", r"^[0-9A-Fa-f]+$", 2.95),
-    ("letters", r"^([a-z/_-]+|[A-Z/_-]+|[A-Z]?[a-z]+([/_-][A-Z]?[a-z]+)*)$", None),
+    ("letters", r"^(?:[a-z/_-]++|[A-Z/_-]++|[A-Z]?[a-z]++(?:[/_-][A-Z]?[a-z]++)*+)$", 3.65),
     ("mixed", r"[0-9]", 3.65),
     ("cased", r"", 3.95),
 )
-#: Candidates that are known not to be secrets: UUIDs, published digests, placeholders.
+#: Candidates that are known not to be secrets: UUIDs, published digests.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^(md5|sha1|sha256|sha384|sha512)-",
-    r"(?i)example|placeholder|changeme|dummy|sample",
 )
+#: The parts of a candidate between its delimiters that hold one of these words end it there.
+PLACEHOLDERS = ("example", "placeholder", "changeme", "dummy", "sample")
+PLACEHOLDER = rf"(?i)(?<![a-z0-9+])[a-z0-9+]*?(?:{'|'.join(PLACEHOLDERS)})[a-z0-9+]*+"
+#: Candidates are walked in blocks of so many window starts, as a place in a string is found by
+#: walking to it.
+BLOCK = 256
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
@@ -70,8 +77,14 @@ def _located(text: Column, pattern: str, rank: int, keep) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["spans"])
 
 
-def _weight(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+def _weight(n: int) -> float:
+    return n * math.log2(n) if n > 1 else 0.0
+
+
+def _steps_of_count() -> tuple[Column, Column]:
+    """What the sum of ``n log2 n`` gains when the n-th character of a kind enters, and loses when it leaves."""
+    gains = [_weight(n + 1) - _weight(n) for n in range(WINDOW + 1)]
+    return F.array(*[F.lit(g) for g in gains]), F.array(*[F.lit(x) for x in [0.0, *gains[:-1]]])
 
 
 def _occurs(window: Column, char: Column) -> Column:
@@ -88,29 +101,72 @@ def _threshold(candidate: Column) -> Column:
     return F.when(~allowed, value)
 
 
-def window_hull(candidate: Column, least: Column) -> Column:
-    """First start and last end (both relative, null if none) of windows with entropy ``least`` or more."""
-    state = F.struct(
-        F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last")
-    )
+def _block_hull(block: Column, least: Column) -> Column:
+    """First start and last end (null if none) of a short string's windows with entropy ``least`` or more."""
+    none = F.lit(None).cast("long")
+    state = F.struct(F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"))
+    gains, losses = _steps_of_count()
 
-    def step(acc: Column, at: Column) -> Column:
+    def change(at: Column) -> Column:
         # ``at`` is the 1-based place of the character that enters; the window before it ends at at - 1
-        before = F.substring(candidate, F.greatest(at - WINDOW, F.lit(1)), F.least(at - 1, F.lit(WINDOW)))
-        leaves = F.when(at > WINDOW, F.substring(candidate, at - WINDOW, F.lit(1)))
-        inner = F.when(at > WINDOW, F.substring(candidate, at - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(before)
-        out = F.when(leaves.isNotNull(), _occurs(before, leaves)).otherwise(F.lit(0))
-        into = _occurs(inner, F.substring(candidate, at, F.lit(1)))
-        total = acc["sum"] - _weight(out) + F.when(out > 0, _weight(out - 1)).otherwise(0.0)
-        total = total + _weight(into + 1) - _weight(into)
-        high = (at >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
+        full = at > WINDOW
+        before = F.substring(block, F.greatest(at - WINDOW, F.lit(1)), F.least(at - 1, F.lit(WINDOW)))
+        inner = F.substring(block, F.greatest(at - WINDOW + 1, F.lit(1)), F.least(at - 1, F.lit(WINDOW - 1)))
+        left = F.when(full, _occurs(before, F.substring(block, at - WINDOW, F.lit(1)))).otherwise(F.lit(0))
+        entered = _occurs(inner, F.substring(block, at, F.lit(1)))
+        return F.struct(at.alias("at"), (F.get(gains, entered) - F.get(losses, left)).alias("change"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x["change"]
+        high = (x["at"] >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
         return F.struct(
             total.alias("sum"),
-            F.when(acc["first"].isNull() & high, (at - WINDOW).cast("long")).otherwise(acc["first"]).alias("first"),
-            F.when(high, at.cast("long")).otherwise(acc["last"]).alias("last"),
+            F.when(acc["first"].isNull() & high, (x["at"] - WINDOW).cast("long")).otherwise(acc["first"]).alias("first"),
+            F.when(high, x["at"].cast("long")).otherwise(acc["last"]).alias("last"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), state, step)
+    # the changes are an array of their own, as a value that is used twice in a walk is made twice
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(block)), change), state, step)
+
+
+def window_hull(candidate: Column, least: Column) -> Column:
+    """First start and last end (both relative, null if none) of windows with entropy ``least`` or more.
+
+    A block is continued by the beginning of the next, so that every window lies in one.
+    """
+    blocks = F.regexp_extract_all(candidate, F.lit(f".{{1,{BLOCK}}}"), F.lit(0))
+    ends = F.transform(blocks, lambda b: F.substring(b, F.lit(1), F.lit(WINDOW - 1)))
+    # the blocks without the first, and nothing after the last: each beside its block
+    beside = F.arrays_zip(
+        blocks.alias("block"), F.concat(F.slice(ends, 2, F.size(ends)), F.array(F.lit(""))).alias("more")
+    )
+    none = F.lit(None).cast("long")
+    state = F.struct(F.lit(0).cast("long").alias("at"), none.alias("first"), none.alias("last"))
+
+    def step(acc: Column, b: Column) -> Column:
+        hull = F.transform(F.array(F.concat(b["block"], b["more"])), lambda x: _block_hull(x, least))
+        return F.aggregate(
+            hull, acc,
+            lambda s, h: F.struct(
+                (s["at"] + BLOCK).cast("long").alias("at"),
+                F.coalesce(s["first"], s["at"] + h["first"]).alias("first"),
+                F.coalesce(s["at"] + h["last"], s["last"]).alias("last"),
+            ),
+        )
+
+    return F.aggregate(beside, state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+
+def _without_placeholders(text: Column) -> Column:
+    """The text with blanks for the characters of placeholders, so that places stay."""
+    found = F.arrays_zip(
+        F.split(text, PLACEHOLDER, -1).alias("piece"),
+        F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)).alias("match"),
+    )
+    blank = F.transform(
+        found, lambda x: F.concat(x["piece"], F.repeat(F.lit(" "), F.coalesce(F.length(x["match"]), F.lit(0))))
+    )
+    return F.when(text.rlike("(?i)" + "|".join(PLACEHOLDERS)), F.array_join(blank, "")).otherwise(text)
 
 
 def _suspects(text: Column) -> Column:
@@ -123,8 +179,7 @@ def _suspects(text: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
-        least = _threshold(x["match"])
-        hull = F.when(least.isNotNull(), window_hull(x["match"], least))
+        hull = F.when(x["least"].isNotNull(), window_hull(x["match"], x["least"]))
         found_at = F.array(
             F.struct(begin.cast("long").alias("start"), F.lit(3).alias("rank"), hull.alias("hull"))
         )
@@ -142,7 +197,12 @@ def _suspects(text: Column) -> Column:
         end = (begin + F.coalesce(F.length(x["match"]), F.lit(0))).cast("long")
         return F.struct(end.alias("at"), F.concat(acc["spans"], spans).alias("spans"))
 
-    return F.aggregate(F.filter(found, lambda x: x["match"].isNotNull()), start, step, lambda acc: acc["spans"])
+    # an array of its own: a threshold that stood in the walk would be found again at each character
+    judged = F.transform(
+        F.filter(found, lambda x: x["match"].isNotNull()),
+        lambda x: F.struct(x["piece"].alias("piece"), x["match"].alias("match"), _threshold(x["match"]).alias("least")),
+    )
+    return F.aggregate(judged, start, step, lambda acc: acc["spans"])
 
 
 def _written(spans: Column) -> Column:
@@ -179,9 +239,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(names, assigned).otherwise(_empty()).alias("assign"),
         F.when(text.contains("AKIA"), access).otherwise(_empty()).alias("access"),
         F.when(text.rlike(f"[0-9a-f]{{{LEAST_HEX}}}"), digits).otherwise(_empty()).alias("hex"),
-        F.when(text.rlike(CANDIDATE), _suspects(text)).otherwise(_empty()).alias("suspects"),
+        _without_placeholders(text).alias("plain"),
     )
-    based = scanned.withColumn("base_spans", F.array_sort(F.concat("assign", "access", "hex")))
+    plain = F.col("plain")
+    based = scanned.withColumn("suspects", F.when(plain.rlike(CANDIDATE), _suspects(plain)).otherwise(_empty())).withColumn("base_spans", F.array_sort(F.concat("assign", "access", "hex")))
     fresh = F.filter(
         "suspects",
         lambda s: ~F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from ledgerlake.llm import entropy_secrets as e
@@ -24,6 +25,7 @@ def entropy(window):
 
 def suspects(text):
     out = []
+    text = re.sub(e.PLACEHOLDER, lambda m: " " * len(m[0]), text)
     for m in re.finditer(e.CANDIDATE, text):
         if any(re.search(p, m[0]) for p in e.ALLOWED):
             continue
@@ -58,6 +60,9 @@ def texts():
         "123e4567-e89b-12d3-a456-426614174000", "sha256-" + "aB3" * 14, "12345678901234567890123",
         "/path/to/some/long/directory/name", "ThisIsACamelCaseIdentifierName", "EXAMPLE" + "a8Bc9Dd0Ee1Ff2Gg3Hh",
         "é" * 40 + " 😀 " + "q7Zk2Lm9Xw4Vb1Nc8Rt5" + "😀", "a" * 30 + "x8Kf2Lq9Zw4Vb1Nc7Rt5Y" + "b" * 30,
+        "sample-q7Zk2Lm9Xw4Vb1Nc8Rt5Yp3H", "x/Example/q7Zk2Lm9Xw4Vb1Nc8Rt5-dummies-q7Zk2Lm9Xw4Vb1Nc8Rt5",
+        "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)), "".join(rnd.choice("0123456789") for _ in range(23)),
+        "".join(rnd.choice(token[:26]) for _ in range(700)), "b" * 250 + "".join(rnd.choice(token) for _ in range(26)) + "c" * 240,
         "0123456789ABCDEF0123456789ABCDEF", "password=" + "x" * 50_000, "z9 " * 5000,
     ]
     for _ in range(150):
@@ -84,3 +89,23 @@ def test_against_brute_force(spark):
 def test_the_method_adds_findings(spark):
     df = spark.createDataFrame([(1, "key q7Zk2Lm9Xw4Vb1Nc8Rt5Yp3H is set")], "doc_id long, text string")
     assert e.secret_report(df).first()["spans"] == "entropy:4:28"
+
+
+def test_a_very_long_run(spark):
+    rnd = random.Random(8)
+    token = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rnd.choices(token, k=300_000))
+    paths = "ab/" * 100_000
+    df = spark.createDataFrame([(1, f"data: {run} end"), (2, paths), (3, "a" * 300_000)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r["spans"] for r in e.secret_report(df).collect()}
+    assert time.monotonic() - began < 120
+    assert got[1].split(",")[0].startswith("entropy:6:") or "entropy:6:" in got[1]
+    assert got[2] == "" and "entropy" not in got[3]
+
+
+def test_letters_and_digits_without_case(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(a, k=40)) for a in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20)]
+    df = spark.createDataFrame([(i, f"key {t}.") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sum("entropy" in r["spans"] for r in e.secret_report(df).collect()) >= 36
