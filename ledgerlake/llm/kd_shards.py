@@ -17,45 +17,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..session import materialize
-from .common import numbered, text_or_empty
+from .common import in_order, numbered, text_or_empty
 
 DIMENSIONS = ("source", "lang", "n_chars")
-#: The first digit is the value itself, in steps of its node's range; the others are the bits of
+#: The first digits are the value, in 2^18 steps of its node's range, then in 2^18 steps of such a
+#: step, so that whole numbers are told apart in any range up to 2^36; the others are the bits of
 #: the tie-breaker: the text's checksum, so that equal texts stay together, then the id's hash.
-VALUE_STEPS = 1 << 16
+VALUE_STEPS = 1 << 18
+VALUE_DIGITS = 2
 TIE_SHIFTS = ((35, 18), (17, 18), (0, 17))
 #: A table with a row per node is broadcast if there are at most so many shards.
 BROADCAST_NODES = 100_000
-DIGITS = [f"g{i}" for i in range(1 + len(TIE_SHIFTS))]
+DIGITS = [f"g{i}" for i in range(VALUE_DIGITS + len(TIE_SHIFTS))]
 
 
-def _code(docs: DataFrame, name: str) -> Column:
-    """A double in the order of the column: numbers as they are, texts by their first seven bytes."""
-    if isinstance(docs.schema[name].dataType, NumericType):
-        value = F.col(name).cast("double")
-        return F.when(F.isnan(value), None).otherwise(value)
-    first = F.rpad(F.hex(F.substring(F.encode(F.col(name).cast("string"), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(first, 16, 10).cast("double")
+def _is_number(docs: DataFrame, name: str) -> bool:
+    return isinstance(docs.schema[name].dataType, NumericType)
+
+
+def _ranks(docs: DataFrame, name: str) -> DataFrame:
+    """Each distinct text of a column and its place among them, found by ranges and not in one task."""
+    values = docs.select(F.col(name).cast("string").alias("_value")).where("_value is not null").distinct()
+    return materialize(in_order(materialize(values, "kd-values"), [F.col("_value").asc()], "_rank"), "kd-ranks")
 
 
 def metadata(docs: DataFrame, dimensions=DIMENSIONS, id_col="doc_id", text_col="text") -> DataFrame:
-    """One narrow row per document: id, size in bytes plus one, checksum, dimension codes."""
+    """One narrow row per document: id, size in bytes plus one, checksum, dimension codes.
+
+    A code is a double in the order of the column: a number as it is, a text by its rank among
+    the column's distinct texts, so that texts with a common beginning differ.
+    """
     present = [d for d in dimensions if d in docs.columns]
     crc = F.crc32(F.encode(text_or_empty(text_col), "utf-8"))
-    dims = [F.coalesce(_code(docs, d), F.lit(-1.0)).alias(f"d{i}") for i, d in enumerate(present)]
-    return docs.select(
+    dims = []
+    for i, d in enumerate(present):
+        number = F.col(d).cast("double")
+        value = F.when(~F.isnan(number), number) if _is_number(docs, d) else F.col(d).cast("string")
+        dims.append(value.alias(f"d{i}"))
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text_or_empty(text_col)) + 1).cast("long").alias("size"),
         crc.cast("long").alias("text_crc32"),
         *(dims or [F.lit(0.0).alias("d0")]),
-    ).withColumn(
-        "tie",
-        F.shiftleft("text_crc32", 21).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 21))),
     )
-
-
-def _step(fraction: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.floor(fraction * VALUE_STEPS), F.lit(VALUE_STEPS - 1)))
+    for i, d in enumerate(present):
+        if not _is_number(docs, d):
+            ranks = _ranks(docs, d)
+            rows = rows.join(ranks, F.col(f"d{i}") == F.col("_value"), "left").withColumn(
+                f"d{i}", F.col("_rank").cast("double")
+            ).drop("_value", "_rank")
+    codes = {f"d{i}": F.coalesce(f"d{i}", F.lit(-1.0)) for i in range(max(1, len(present)))}
+    tie = F.shiftleft("text_crc32", 21).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 21)))
+    return rows.withColumns(codes | {"tie": tie})
+
+
+def _steps(place: Column) -> list[Column]:
+    """A place from 0 to 1 as digits."""
+    out, rest = [], place
+    for _ in range(VALUE_DIGITS):
+        scaled = rest * VALUE_STEPS
+        step = F.greatest(F.lit(0), F.least(F.floor(scaled), F.lit(VALUE_STEPS - 1)))
+        out.append(step)
+        rest = scaled - step
+    return out
 
 
 def _split(rows: DataFrame, ranges: list[float], shards: int) -> DataFrame:
@@ -89,9 +113,9 @@ def _split(rows: DataFrame, ranges: list[float], shards: int) -> DataFrame:
     keyed = (
         rows.join(per_node(nodes.drop("wanted")), "node", "left")
         .withColumn("place", place)
-        .withColumn("g0", _step(F.col("place")))
     )
-    for i, (shift, bits) in enumerate(TIE_SHIFTS, 1):
+    keyed = keyed.withColumns({f"g{i}": step for i, step in enumerate(_steps(F.col("place")))})
+    for i, (shift, bits) in enumerate(TIE_SHIFTS, VALUE_DIGITS):
         digit = F.shiftright("tie", shift).bitwiseAND(F.lit((1 << bits) - 1))
         keyed = keyed.withColumn(f"g{i}", digit)
     keyed = keyed.drop("place", "low", "span")

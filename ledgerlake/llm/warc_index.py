@@ -20,6 +20,8 @@ from ..session import materialize, scratch_path, shuffle_files_go
 from .common import text_or_empty
 
 LEAST_SHARED = 100
+#: Records of an archive at most, about: their heads are some hundred bytes each.
+ARCHIVE_RECORDS = 20_000
 ARCHIVE_BYTES = 16 << 20
 ROUNDS = 4
 RANGE_BYTES = 8 << 20
@@ -79,8 +81,9 @@ def build_index(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tuple[D
     responses), the others revisit it. A null html is an empty payload.
     """
     meta = materialize(_described(pages).drop("html"), "warc-pages")
-    total = meta.agg(F.sum("payload_bytes")).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
+    total, records = meta.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    # of many small pages the heads make up most of an archive, so their number is bounded too
+    archives = max(1, -(-total // archive_bytes), -(-records // ARCHIVE_RECORDS))
     shared = meta.filter(F.col("payload_bytes") >= LEAST_SHARED)
     first = shared.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     first = first.filter("n > 1").drop("n")

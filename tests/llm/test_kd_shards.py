@@ -60,3 +60,42 @@ def test_written_shards(spark, path):
     kd_shards.write_shards(df, placed, path("shards"))
     back = spark.read.parquet(path("shards"))
     assert back.count() == 50 and sorted(r[0] for r in back.select("shard").distinct().collect()) == [0, 1, 2, 3]
+
+
+def plain_cut(rows, ranges, parts, first=0):
+    """Shard by row number of a plain k-d cut; rows are (number, size, codes, tie)."""
+    if parts == 1 or not rows:
+        return {r[0]: first for r in rows}
+    spans = [max(r[2][d] for r in rows) - min(r[2][d] for r in rows) for d in range(len(ranges))]
+    width = [s / r for s, r in zip(spans, ranges)]
+    d = width.index(max(width))
+    rows = sorted(rows, key=lambda r: (r[2][d], r[3]))
+    half = parts // 2
+    wanted, upto, cut = sum(r[1] for r in rows) * half / parts, 0, 0
+    while cut < len(rows) and upto < wanted:
+        same = [r for r in rows[cut:] if (r[2][d], r[3]) == (rows[cut][2][d], rows[cut][3])]
+        upto += sum(r[1] for r in same)
+        cut += len(same)
+    return plain_cut(rows[:cut], ranges, half, first) | plain_cut(rows[cut:], ranges, parts - half, first + half)
+
+
+def test_against_a_plain_cut(spark):
+    """Sources and languages with long common beginnings, and one text far longer than all others."""
+    rnd = random.Random(7)
+    rows = [
+        (i, f"t{i} " * rnd.randint(1, 40), f"language-{rnd.randrange(9)}", f"https://example.org/dataset/{rnd.randrange(50):03d}")
+        for i in range(400)
+    ]
+    rows += [(400, "x" * 3_000_000, "language-1", "https://example.org/dataset/007"), rows[5], (401, None, None, None)]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = kd_shards.metadata(df).collect()
+    dims = [c for c in told[0].asDict() if c[0] == "d" and c[1:].isdigit()]
+    for d, c in zip(dims, (3, 2, None)):
+        if c:  # ranks follow the texts
+            assert [r[0] for r in sorted({(x[c] or "", y) for x in rows for y in [
+                next(t[d] for t in told if t["doc_id"] == x[0])]})] == sorted({x[c] or "" for x in rows})
+    codes = [(i, r["size"], [r[d] for d in dims], r["tie"]) for i, r in enumerate(told)]
+    ranges = [max(c[2][d] for c in codes) - min(c[2][d] for c in codes) or 1.0 for d in range(len(dims))]
+    want = plain_cut(codes, ranges, 8)
+    got = {r["doc_id"]: r["shard"] for r in kd_shards.kd_shards(df, shards=8).collect()}
+    assert got == {told[i]["doc_id"]: shard for i, shard in want.items()}
