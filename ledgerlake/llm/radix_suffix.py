@@ -8,12 +8,14 @@ one whose first ``DIGIT`` bytes hash lowest (the leftmost of equals) stands for
 Equal windows choose equal suffixes, so no repeat is lost, and about one suffix in eighteen
 is sorted at all. A suffix and the run of windows it stands for is an *anchor*.
 
-Pass 1 puts anchors into radix buckets by their first digit (as a 64-bit hash) and keeps
-those whose digit occurs in two rows or more. Pass 2 fetches the bytes around the survivors
-and orders them through the full depth: runs that are equal as a whole share one answer,
-the rest is split into its windows, and equal windows are the repeated strings. A map task
-sends a digit's anchors of one row, and one row per run, so a passage that a third of all
-documents share costs little in each task; what else shares it in the task is known on the spot.
+Pass 1 puts anchors into radix buckets by their first digit (``DIGIT`` bytes, as a 64-bit hash)
+and keeps those whose digit occurs in two rows or more. Pass 2 fetches the bytes around the
+survivors, again to the bucket of their digit: runs that are equal as a whole share one
+answer, and the windows of the others are sorted by most-significant-digit passes of eight
+bytes, each within the groups that the pass before it left together. What is together at full
+depth are the repeated strings. A map task sends a digit's anchors of one row, and one row per
+run, so a passage that a third of all documents share costs little in each task; what else
+shares it in the task is known on the spot.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import row_key, text_or_empty
 DEPTH = 50
 DIGIT = 16
 SPAN = DEPTH - DIGIT + 1
+#: Where the eight-byte digits of a window begin in pass two; the last one ends with the window.
+DIGITS = (*range(0, DEPTH - 8, 8), DEPTH - 8)
 BATCH_BYTES = 8 << 20
 #: Windows handled at once; a longer text is gone through in slices.
 SLICE = 1 << 20
@@ -226,49 +230,81 @@ def _contexts(docs: pd.DataFrame, survivors: pd.DataFrame, bits: int) -> pd.Data
 
 
 def _held(sent: pd.DataFrame):
-    """(digit, back, run, doc_id, row_key, lefts) of every run that was sent."""
+    """(back, run, doc_id, row_key, lefts) of every run that was sent."""
     for runs, entries, docs, lefts in zip(sent["runs"], sent["entries"], sent["docs"], sent["lefts"]):
         data, places = zlib.decompress(runs), _unblob(lefts, np.uint32)
         holders = _unblob(docs, np.int64).reshape(-1, 2).tolist()
         at = of = 0
         for back, size, holder, count in _unblob(entries, RUN).tolist():
-            run = data[at : at + size]
-            yield (xxhash.xxh64_intdigest(run[back : back + DIGIT]), back, run, *holders[holder], places[of : of + count])
+            yield (back, data[at : at + size], *holders[holder], places[of : of + count])
             at, of = at + size, of + count
 
 
+def first_holders(data: bytes, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For the window of ``DEPTH`` bytes at each start the least of ``docs`` among equal windows.
+
+    Most-significant-digit passes: the windows of a group are sorted by their next eight bytes
+    and split where these differ; a group of one window is done. The last digit overlaps the
+    one before it, and what is together after it is equal through the full depth.
+    """
+    words = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint64)
+    for shift in (1, 2, 4):
+        words = words[:-shift] << np.uint64(8 * shift) | words[shift:]
+    first = docs.copy()
+    alive = np.arange(len(starts))
+    group = np.zeros(len(starts), np.int64)
+    for place in DIGITS:
+        if not len(alive):
+            break
+        digit = words[starts[alive] + place]
+        order = np.lexsort((digit, group))
+        alive, group, digit = alive[order], group[order], digit[order]
+        fresh = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))
+        group = np.cumsum(fresh) - 1
+        several = (np.bincount(group) > 1)[group]
+        alive, group = alive[several], group[several]
+    if len(alive):
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        least = np.minimum.reduceat(docs[alive], begin)
+        first[alive] = np.repeat(least, np.diff(np.append(begin, len(alive))))
+    return first
+
+
+def _spans_of(hits: np.ndarray) -> list[tuple[int, int]]:
+    """The bytes that the windows at these ordered places cover, as maximal runs."""
+    cut = np.flatnonzero(np.diff(hits) > DEPTH)
+    begins = hits[np.append(0, cut + 1)]
+    ends = hits[np.append(cut, len(hits) - 1)] + DEPTH
+    return list(zip(begins.tolist(), ends.tolist()))
+
+
 def _windows(group: pd.DataFrame) -> pd.DataFrame:
     """Pass 2, bucket side: spans of the windows that a document with a smaller id holds."""
     known = group[group["kind"] == 1]
     out = list(zip(known["row_key"], known["lefts"]))
+    rows = list(_held(group[group["kind"] == 0]))
+    least: dict[tuple[bytes, int], int] = {}
+    for back, run, doc_id, _, _ in rows:
+        least[run, back] = min(least.get((run, back), doc_id), doc_id)
+    hit: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+    if len(least) > 1:
+        names, docs = list(least), np.array(list(least.values()), np.int64)
+        sizes = np.array([len(run) for run, _ in names], np.int64)
+        begins = np.append(0, np.cumsum(sizes)[:-1])
+        counts = sizes - DEPTH + 1
+        of = np.repeat(np.arange(len(names)), counts)
+        place = np.arange(len(of)) - np.repeat(np.append(0, np.cumsum(counts)[:-1]), counts)
+        own = docs[of]
+        late = np.flatnonzero(first_holders(b"".join(run for run, _ in names), begins[of] + place, own) < own)
+        for i, at in _by(of[late], place[late]):
+            hit[names[i]] = _spans_of(at)
     spans: dict[int, list[tuple[int, int]]] = {}
-    rows = sorted(_held(group[group["kind"] == 0]), key=lambda r: (r[0], r[3]))
-    start = 0
-    while start < len(rows):
-        stop = start
-        while stop < len(rows) and rows[stop][0] == rows[start][0]:
-            stop += 1
-        of_run: dict[tuple[bytes, int], int] = {}
-        for _, back, run, doc_id, _, _ in rows[start:stop]:
-            of_run.setdefault((run, back), doc_id)
-        first: dict[bytes, int] = {}
-        if len(of_run) > 1:
-            # in order of the smallest document, so the first to hold a window is the smallest
-            for (run, _), doc_id in of_run.items():
-                for o in range(len(run) - DEPTH + 1):
-                    first.setdefault(run[o : o + DEPTH], doc_id)
-        for _, back, run, doc_id, key, lefts in rows[start:stop]:
-            if of_run[run, back] < doc_id:
-                hit = [(0, len(run))]
-            elif len(of_run) > 1:
-                hit = [(o, o + DEPTH) for o in range(len(run) - DEPTH + 1) if first[run[o : o + DEPTH]] < doc_id]
-            else:
-                hit = []
-            if hit:
-                mine = spans.setdefault(key, [])
-                for left in lefts.tolist():
-                    mine.extend((left + a, left + b) for a, b in _merged(hit))
-        start = stop
+    for back, run, doc_id, key, lefts in rows:
+        mine = [(0, len(run))] if least[run, back] < doc_id else hit.get((run, back))
+        if mine:
+            found = spans.setdefault(key, [])
+            for left in lefts.tolist():
+                found.extend((left + a, left + b) for a, b in mine)
     out += [(key, np.array(s, np.uint32).tobytes()) for key, s in spans.items()]
     return pd.DataFrame(out, columns=["row_key", "spans"])
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from ledgerlake.llm import radix_suffix
 
 
@@ -68,3 +69,23 @@ def test_empty(spark):
     assert radix_suffix.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
     short = spark.createDataFrame([(1, "a" * 49, 1, "k"), (2, "a" * 49, 1, "k")], SCHEMA)
     assert [r["n_removed"] for r in radix_suffix.repeated_passages(short).collect()] == [0, 0]
+
+
+def test_digit_passes_find_the_least_holder():
+    rnd = random.Random(11)
+    data = "".join(rnd.choice("ab") for _ in range(400)) + "-" * 300 + "ab" * 150 + "-" * 120
+    data = (data + data[100:220] + data[101:221]).encode()
+    starts = np.array([rnd.randrange(len(data) - 49) for _ in range(3000)])
+    docs = np.array([rnd.randrange(-5, 90) for _ in starts], np.int64)
+    want = {}
+    for s, d in zip(starts.tolist(), docs.tolist()):
+        want[data[s : s + 50]] = min(d, want.get(data[s : s + 50], d))
+    got = radix_suffix.first_holders(data, starts, docs)
+    assert got.tolist() == [want[data[s : s + 50]] for s in starts.tolist()]
+    assert radix_suffix.first_holders(b"", starts[:0], docs[:0]).tolist() == []
+
+
+def test_filler_runs_in_many_texts(spark):
+    rows = [(i, f"t{i} " + "-" * (50 + i % 40) + f" {i} " + "=" * (40 + i % 30), 1, "k") for i in range(300)]
+    got = radix_suffix.repeated_passages(spark.createDataFrame(rows, SCHEMA)).drop("spans")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
