@@ -30,10 +30,16 @@ def build_session(app_name: str = "ledgerlake", **conf: str) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is not set, one in the warehouse, but only on one machine: a cluster's executors
+    would each write to a folder of their own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
