@@ -32,15 +32,17 @@ def build_session(app_name: str = "ledgerlake", **conf: str) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Where it is not set, one in the warehouse, but only on one machine: a cluster's executors
-    would each write to a folder of their own.
+    Where it is not set, one in the warehouse; on a cluster not in the default warehouse, a folder
+    of the driver's machine, as executors would each write to one of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_cluster = not spark.sparkContext.master.startswith("local")
+    if on_cluster and warehouse.startswith("file:") and warehouse.endswith("/spark-warehouse"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+import pytest
+
 from conftest import rows
 from ledgerlake import session
 
@@ -22,6 +24,18 @@ def test_without_the_setting_the_warehouse_is_used():
     assert session.shared_root(fake("spark://host:7077")) == "/warehouse/_scratch"
 
 
+def test_a_default_warehouse_is_refused_on_a_cluster():
+    def at(master, warehouse):
+        made = fake(master)
+        made.conf.get = lambda key, default=None: None if key == "spark.checkpoint.dir" else warehouse
+        return made
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_root(at("yarn", "file:/home/user/spark-warehouse"))
+    assert session.shared_root(at("local[2]", "file:/x/spark-warehouse")) == "file:/x/spark-warehouse/_scratch"
+    assert session.shared_root(at("yarn", "hdfs://all/spark-warehouse")) == "hdfs://all/spark-warehouse/_scratch"
+
+
 def test_materialize_cuts_the_plan(spark):
     stored = session.materialize(spark.range(3).selectExpr("id", "id * 2 as twice"), "numbers")
     assert rows(stored) == [(0, 0), (1, 2), (2, 4)]
