@@ -81,10 +81,13 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
 
 
 def _windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row_key, n_words, start, shingles of each window that shares a shingle with an item of its size."""
+    """doc_id, row_key, n_words, start, shingles of each window that shares a shingle with an item of its size.
+
+    What is joined with the benchmark's shingles is a row's key, a place and a shingle; the
+    shingles of whole texts are made again for the texts that were hit, and joined by the key.
+    """
     narrow = docs.select(
-        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
-        _words(text_or_empty(text_col)).alias("words"),
+        F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text_or_empty(text_col).alias("text"),
     )
     known = materialize(items.select(F.explode("shingles").alias("known"), "n_words").distinct(), "benchmark-shingles")
     # at most SHINGLE different widths: shorter items have one shingle of all their words
@@ -92,11 +95,19 @@ def _windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> D
     parts = []
     for width in sorted(widths):
         mine = known.filter(F.least("n_words", F.lit(SHINGLE)) == width)
-        hashed = narrow.select("doc_id", "row_key", _shingles("words", width).alias("all"))
+        worded = narrow.select("row_key", _words(F.col("text")).alias("words"))
+        hashed = worded.select("row_key", _shingles("words", width).alias("all"))
         # outer: for an inner explode Spark adds a filter on the array's size, below which the words
         # would be found again for each shingle; the join drops the nulls
-        placed = hashed.select("doc_id", "row_key", "all", F.posexplode_outer("all").alias("pos", "known"))
-        hits = placed.join(mine, "known")
+        placed = hashed.select("row_key", F.posexplode_outer("all").alias("pos", "known"))
+        hits = materialize(placed.join(mine, "known").select("row_key", "pos", "n_words").distinct(), "shingle-hits")
+        # hits grow with the documents, so they are not to be broadcast however few they are
+        hit_keys = hits.select("row_key").distinct().hint("merge")
+        texts = narrow.join(hit_keys, "row_key", "left_semi").dropDuplicates(["row_key"])
+        whole = texts.select("doc_id", "row_key", _words(F.col("text")).alias("words")).select(
+            "doc_id", "row_key", _shingles("words", width).alias("all")
+        )
+        hits = hits.hint("merge").join(whole, "row_key")
         m = F.col("n_words") - width + 1
         low = F.greatest(F.lit(0), F.col("pos") - m + 1)
         # a text shorter than the item is one window
