@@ -657,7 +657,7 @@ def _third(spark) -> int:
 
 
 def _topic(spark, sf, damaged: bool = False) -> Topic:
-    """All transactions as a topic with a file per partition, taken in several batches.
+    """All transactions as a topic of even files, taken in several batches of a file per core.
 
     With ``damaged`` the messages about receivers outside the bank lose their last character.
     """
@@ -667,8 +667,9 @@ def _topic(spark, sf, damaged: bool = False) -> Topic:
         text = F.col("value").cast("string")
         cut = F.when(text.contains("EXT"), F.left(text, F.length(text) - 1)).otherwise(text)
         messages = messages.withColumn("value", F.encode(cut, "UTF-8"))
-    topic = Topic(scratch_path(spark, "topic"), name="transactions", per_trigger=_third(spark))
-    topic.publish(messages.repartition(_partitions(spark), "partition"))
+    topic = Topic(scratch_path(spark, "topic"), name="transactions", per_trigger=_partitions(spark))
+    # Dealt by offset: the few partitions would meet in fewer files, whose tasks hold several of them.
+    topic.publish(messages.repartition(3 * _partitions(spark), "offset"))
     return topic
 
 

@@ -15,6 +15,9 @@ from ..schemas import SEQ_TYPE, TOPIC_RECORD
 #: Enough for any partition and any offset; with 13 digits of time they fill a decimal number.
 PARTITION_DIGITS, OFFSET_DIGITS = 6, 19
 
+#: Records of a file of a directory at most, so that ``per_trigger`` bounds what a task reads.
+RECORDS_PER_FILE = 1 << 18
+
 
 @dataclass(frozen=True)
 class Topic:
@@ -99,6 +102,7 @@ class Topic:
             records.withColumn("batch", F.lit(batch))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", RECORDS_PER_FILE)
             .partitionBy("batch")
             .parquet(self.location)
         )

@@ -78,9 +78,10 @@ def ingest_transactions(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        raw = F.col("value").cast("string").alias(RAW)
-        messages = batch.select("value", topic.order().alias("_seq"), *([raw] if bronze.keep_raw else []))
+        messages = batch.select("value", topic.order().alias("_seq"))
         with kept(decode_json(messages, bronze.schema)) as decoded:
+            if bronze.keep_raw:  # the message is kept once, as it came
+                decoded = decoded.withColumn(RAW, F.col("value").cast("string"))
             good, bad = split_decoded(decoded, topic.name or topic.location)
             bronze.write_batch(good, batch_id, seq=F.col("_seq"))
             dead.write(bad, batch_id)

@@ -7,9 +7,12 @@ from conftest import rows
 from ledgerlake.operators.lookup import account_owners
 from ledgerlake.plans.gold import possible_fraud
 from ledgerlake.plans.profiles import latest_profiles
+from ledgerlake.queries import _topic
 from ledgerlake.schemas import PROFILES, TRANSACTIONS, table
+from ledgerlake.sources import topics
 from ledgerlake.sources.tables import ChangeLog, DeadLetters
 from ledgerlake.sources.topics import Topic, as_messages
+from ledgerlake.streaming import ingest
 from ledgerlake.streaming.changes import detect_on_change
 from ledgerlake.streaming.flow import FLOW_CATEGORIES, files_to_topic, topic_to_tables
 from ledgerlake.streaming.ingest import ingest_transactions
@@ -226,3 +229,53 @@ def test_republished_batch_replaces_itself(spark, path, transactions):
     topic.publish(messages(transactions.limit(5)))
     assert topic.read(spark).count() == N + 5
     assert topic.read(spark).columns == ["key", "value", "partition", "offset", "timestamp"]
+
+
+def file_sizes(topic, spark):
+    files = topic.read(spark).groupBy(F.input_file_name()).agg(F.count("*").alias("n"))
+    return sorted(r.n for r in files.collect())
+
+
+def test_files_of_a_topic_are_bounded_and_so_are_batches(spark, path, customers, transactions, monkeypatch):
+    monkeypatch.setattr(topics, "RECORDS_PER_FILE", 90)
+    topic = Topic(path("topic"), per_trigger=1)
+    topic.publish(messages(transactions).coalesce(1))
+    assert file_sizes(topic, spark) == [40, 90, 90, 90, 90]
+    run = Run(path, topic, customers)
+    run.go(spark)
+    batches = run.bronze.rows(spark).groupBy("batch_id").count().collect()
+    assert sorted(r["count"] for r in batches) == [40, 90, 90, 90, 90]
+    assert rows(run.bronze.current(spark)) == rows(transactions.drop("_seq"))
+
+
+def test_transactions_are_dealt_evenly(spark, path):
+    n, key = 6000, F.col("id")
+    spark.range(n).select(
+        key.alias("o_orderkey"), (key % 50).alias("o_custkey"), (key * 1.5).alias("o_totalprice"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("o_orderdate"),
+    ).write.parquet(f"{path('sf')}/orders.parquet")
+    topic = _topic(spark, path("sf"))
+    sizes = file_sizes(topic, spark)
+    assert sum(sizes) == n and len(sizes) >= 3 * topic.per_trigger
+    assert sizes[-1] < 1.5 * n / len(sizes)
+
+
+def test_a_kept_batch_holds_its_messages_once(spark, path, customers, transactions, monkeypatch):
+    held = []
+
+    def kept(df):
+        held.append(df.columns)
+        return ingest_kept(df)
+
+    ingest_kept = ingest.kept
+    monkeypatch.setattr(ingest, "kept", kept)
+    topic = Topic(path("topic"))
+    topic.publish(messages(transactions))
+    run = Run(path, topic, customers)
+    run.bronze = ChangeLog(path("whole"), TRANSACTIONS, keep_raw=True)
+    run.args = (topic, run.bronze, *run.args[2:])
+    run.go(spark)
+    assert held == [["value", "_seq", "record", "_damaged"]]
+    stored = run.bronze.rows(spark)
+    sent = topic.read(spark).select(F.col("value").cast("string"))
+    assert rows(stored.select("_raw")) == rows(sent)
