@@ -17,6 +17,9 @@ CSV_QUOTED = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"
 
 DAMAGED = "_damaged"
 
+#: Rows of a written CSV file at most: one whose values span lines is read whole by one task.
+ROWS_PER_FILE = 1 << 18
+
 
 def ddl(schema: StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -96,8 +99,12 @@ def parse_csv_row(value: str, schema: StructType):
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with header; any path Spark can reach, so also the export to a bucket or share."""
-    df.write.mode(mode).options(header="true", quote='"', escape='"').csv(path)
+    """CSV with header, ``ROWS_PER_FILE`` rows a file at most.
+
+    Any path Spark can reach, so also the export to a bucket or share.
+    """
+    writer = df.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
+    writer.options(header="true", quote='"', escape='"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

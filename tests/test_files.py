@@ -36,6 +36,16 @@ def test_values_spanning_lines(spark, path):
     assert rows(got) == [("1", "a\nb", 'x"y\\'), ("2", "", None)]
 
 
+def test_written_files_are_bounded_and_keep_their_order(spark, path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_PER_FILE", 3)
+    df = spark.range(8).selectExpr("cast(id % 2 as string) as _id", "concat('a\\nb', id) as name", "'1' as amount")
+    files.write_csv(df.coalesce(1), path("out"))
+    assert len([f for f in os.listdir(path("out")) if f.startswith("part-")]) == 3
+    log = ChangeLog(path("log"), SCHEMA)
+    ingest.ingest_customers(spark, path("out"), log, 1, DeadLetters(path("dead")), multi_line=True)
+    assert rows(log.current(spark)) == [("0", "a\nb6", "1"), ("1", "a\nb7", "1")]
+
+
 def test_inferred_types(spark, path):
     target = write(path("c.csv"), "_id,name,amount\n1,a,2.5\n2,b,3\n")
     kinds = [f.dataType.simpleString() for f in files.read_csv_typed(spark, target).schema]
