@@ -709,7 +709,7 @@ def stream_bronze_extra_fields(spark, sf):
     """Messages with a field that the bronze table does not know: it is read from the stored text."""
     rows = adapters.transactions(spark, sf, with_seq=True)
     rows = rows.withColumn("currency", F.when(F.col("amount") > 150_000, "USD").otherwise("GBP"))
-    topic = Topic(scratch_path(spark, "topic"), name="transactions")
+    topic = Topic(scratch_path(spark, "topic"), name="transactions", per_trigger=_partitions(spark))
     topic.publish(as_messages(rows, F.col("_seq")))
     stored = _Ingested(spark, sf, topic=topic).bronze.rows(spark)
     return stored.select("_id", F.get_json_object(RAW, "$.currency").alias("currency"))
@@ -727,7 +727,7 @@ def profiles_tied_times(spark, sf):
         ),
         "key",
     )
-    topic = Topic(scratch_path(spark, "topic"), name="transactions", by_time=True)
+    topic = Topic(scratch_path(spark, "topic"), name="transactions", per_trigger=_partitions(spark), by_time=True)
     topic.publish(messages.withColumns({"partition": F.col("place"), "timestamp": F.col("time")}))
     return _Ingested(spark, sf, topic=topic).profiles.current(spark)
 

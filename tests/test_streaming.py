@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from ledgerlake import queries
 from ledgerlake.operators.lookup import account_owners
 from ledgerlake.plans.gold import possible_fraud
 from ledgerlake.plans.profiles import latest_profiles
-from ledgerlake.queries import _topic
 from ledgerlake.schemas import PROFILES, TRANSACTIONS, table
 from ledgerlake.sources import topics
 from ledgerlake.sources.tables import ChangeLog, DeadLetters
@@ -254,7 +254,7 @@ def test_transactions_are_dealt_evenly(spark, path):
         key.alias("o_orderkey"), (key % 50).alias("o_custkey"), (key * 1.5).alias("o_totalprice"),
         F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("o_orderdate"),
     ).write.parquet(f"{path('sf')}/orders.parquet")
-    topic = _topic(spark, path("sf"))
+    topic = queries._topic(spark, path("sf"))
     sizes = file_sizes(topic, spark)
     assert sum(sizes) == n and len(sizes) >= 3 * topic.per_trigger
     assert sizes[-1] < 1.5 * n / len(sizes)
@@ -279,3 +279,19 @@ def test_a_kept_batch_holds_its_messages_once(spark, path, customers, transactio
     stored = run.bronze.rows(spark)
     sent = topic.read(spark).select(F.col("value").cast("string"))
     assert rows(stored.select("_raw")) == rows(sent)
+
+
+@pytest.mark.parametrize("name", ["profiles_tied_times", "stream_bronze_extra_fields"])
+def test_topics_that_are_not_dealt_come_in_bounded_batches(spark, path, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def ingested(spark, sf, topic):
+        raise Seen(topic)
+
+    spark.sql("select 7L as o_orderkey, 1L as o_custkey, 2.5D as o_totalprice, timestamp_ntz'2020-01-01 00:00:00' as o_orderdate") \
+        .write.parquet(f"{path('sf')}/orders.parquet")
+    monkeypatch.setattr(queries, "_Ingested", ingested)
+    with pytest.raises(Seen) as seen:
+        getattr(queries, name)(spark, path("sf"))
+    assert seen.value.args[0].per_trigger == spark.sparkContext.defaultParallelism
